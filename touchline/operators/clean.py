@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.functions.parsing import na_to_null, number_or_zero, parse_date
+from touchline.functions.parsing import na_to_null, number_or_zero, parse_date, to_number
 from touchline.schema import MATCH_COLUMNS, MEASURES
 
 ESSENTIAL = ("HomeTeam", "AwayTeam", "FTR")
@@ -32,3 +32,19 @@ def clean_matches(raw: DataFrame) -> DataFrame:
     typed |= {c: known[c] for c in ("HomeTeam", "AwayTeam")}
     rows = raw.select(*extra, *[typed[c].alias(c) for c in MATCH_COLUMNS])
     return rows.dropna(subset=list(ESSENTIAL))
+
+
+def cleaning_report(raw: DataFrame) -> DataFrame:
+    """How many rows cleaning drops, and how many it gives a default result, date or number."""
+    raw = with_all_columns(raw)
+    known = {c: na_to_null(F.col(c)) for c in MATCH_COLUMNS}
+    unread = F.lit(False)
+    for c in MEASURES:
+        unread = unread | to_number(known[c]).isNull()
+    return raw.agg(
+        F.count(F.lit(1)).alias("raw_rows"),
+        F.count_if(known["HomeTeam"].isNull() | known["AwayTeam"].isNull()).alias("dropped_rows"),
+        F.count_if(known["FTR"].isNull()).alias("defaulted_results"),
+        F.count_if(parse_date(known["Date"]).isNull()).alias("undated_rows"),
+        F.count_if(unread).alias("zeroed_rows"),
+    )

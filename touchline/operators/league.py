@@ -145,3 +145,9 @@ def form_bands(stats: DataFrame) -> DataFrame:
 
 def form_band(rate: Column, low: str) -> Column:
     return F.when(rate > 60, "excellent").when(rate > 40, "good").otherwise(low)
+
+
+def upcoming(matches: DataFrame, since: str, n: int = 8) -> DataFrame:
+    """The next ``n`` fixtures from a day on."""
+    due = matches.where(F.col("Date") >= F.to_date(F.lit(since)))
+    return due.orderBy("Date", "match_id").limit(n)

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from touchline.functions.parsing import to_number
 from touchline.schema import MATCH_COLUMNS, MEASURES
 
 
@@ -127,3 +128,9 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+
+
+def typed_requests(rows: DataFrame) -> DataFrame:
+    """Requests with numbers parsed; what is not a number becomes null."""
+    texts = [c for c in MEASURES if c in rows.columns]
+    return rows.withColumns({c: to_number(F.col(c)) for c in texts})
