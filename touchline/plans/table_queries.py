@@ -51,7 +51,7 @@ def match_features(spark, sf_dir):
     return with_match_features(clean_matches(spark, sf_dir))
 
 
-def _full_sql(source: str, month: str, day: str, keep: str = "match_id") -> str:
+def full_features_sql(source: str, month: str, day: str, keep: str = "match_id") -> str:
     return f"""SELECT {keep}, {columns(MATCH_STATS + HALF_TIME_GOALS)}, "HS"+"AS" AS "TotalShots", "HS"-"AS" AS "ShotDifference",
   ("HST"+"AST")/("HS"+"AS"+1) AS "ShotsOnTargetRatio", "HST"/("HS"+1) AS "HomeShotAccuracy", "AST"/("AS"+1) AS "AwayShotAccuracy",
   "HST"/("HS"+1) - "AST"/("AS"+1) AS "ShotAccuracyDiff", "HC"+"AC" AS "TotalCorners", "HC"-"AC" AS "CornerDifference",
@@ -62,7 +62,7 @@ def _full_sql(source: str, month: str, day: str, keep: str = "match_id") -> str:
   (CASE WHEN coalesce(isodow("Date")-1, {day}) >= 5 THEN 1 ELSE 0 END)::DOUBLE AS "IsWeekend" FROM {source}"""
 
 
-@query(f"WITH {CLEAN} " + _full_sql("cleaned", "0", "0", 'match_id, "FTR"'))
+@query(f"WITH {CLEAN} " + full_features_sql("cleaned", "0", "0", 'match_id, "FTR"'))
 def match_features_full(spark, sf_dir):
     return feature_vectors(clean_matches(spark, sf_dir), "train", "match_id", "FTR")
 
@@ -71,7 +71,7 @@ _REQUEST_NUMBERS = ", ".join(f'coalesce(try_cast({q(c)} AS DOUBLE), 0.0::DOUBLE)
 
 
 @query(f"""WITH {REQUESTS}, typed AS (SELECT match_id, "Date", "HTR", {_REQUEST_NUMBERS} FROM requests)
-{_full_sql('typed', '9', '5')}""")
+{full_features_sql('typed', '9', '5')}""")
 def score_features(spark, sf_dir):
     requests = star_tables.typed_requests(star_tables.requests(spark, sf_dir))
     return feature_vectors(requests, "score", "match_id")
