@@ -25,9 +25,10 @@ def clean_matches(raw: DataFrame) -> DataFrame:
     """
     raw = with_all_columns(raw)
     extra = [c for c in raw.columns if c not in MATCH_COLUMNS]
-    known = {c: na_to_null(F.col(c)) for c in MATCH_COLUMNS}
-    typed = {c: number_or_zero(known[c]) for c in MEASURES}
-    typed["Date"] = parse_date(known["Date"])
+    # No missing-value token parses as a number other than NaN, so numbers need no token test.
+    typed = {c: number_or_zero(F.col(c)) for c in MEASURES}
+    typed["Date"] = parse_date(F.col("Date"))
+    known = {c: na_to_null(F.col(c)) for c in ("HomeTeam", "AwayTeam", "HTR", "FTR")}
     typed |= {c: F.coalesce(known[c], F.lit("D")) for c in ("HTR", "FTR")}
     typed |= {c: known[c] for c in ("HomeTeam", "AwayTeam")}
     rows = raw.select(*extra, *[typed[c].alias(c) for c in MATCH_COLUMNS])
@@ -37,14 +38,14 @@ def clean_matches(raw: DataFrame) -> DataFrame:
 def cleaning_report(raw: DataFrame) -> DataFrame:
     """How many rows cleaning drops, and how many it gives a default result, date or number."""
     raw = with_all_columns(raw)
-    known = {c: na_to_null(F.col(c)) for c in MATCH_COLUMNS}
+    known = {c: na_to_null(F.col(c)) for c in ("HomeTeam", "AwayTeam", "FTR")}
     unread = F.lit(False)
     for c in MEASURES:
-        unread = unread | to_number(known[c]).isNull()
+        unread = unread | F.nanvl(to_number(F.col(c)), F.lit(None).cast("double")).isNull()
     return raw.agg(
         F.count(F.lit(1)).alias("raw_rows"),
         F.count_if(known["HomeTeam"].isNull() | known["AwayTeam"].isNull()).alias("dropped_rows"),
         F.count_if(known["FTR"].isNull()).alias("defaulted_results"),
-        F.count_if(parse_date(known["Date"]).isNull()).alias("undated_rows"),
+        F.count_if(parse_date(F.col("Date")).isNull()).alias("undated_rows"),
         F.count_if(unread).alias("zeroed_rows"),
     )

@@ -8,7 +8,9 @@ from pyspark.sql import types as T
 
 from touchline.functions.labels import form_record_text, half_time_label, result_label, score_text
 from touchline.functions.parsing import blank_to_null
-from touchline.functions.validation import range_errors, stat_errors, team_errors
+from touchline.functions.validation import (
+    FIELD_LIMITS, no_errors, range_errors, stat_errors, team_errors, with_numbers, without_numbers,
+)
 from touchline.operators.scoring import TEAM_COLUMNS, rate_fixtures
 from touchline.runtime import Lookup
 
@@ -128,16 +130,21 @@ def checked_requests(requests: DataFrame) -> DataFrame:
         .when(F.size(stats) > 0, INVALID_STATS)
         .when(F.size(ranges) > 0, OUT_OF_RANGE)
     )
-    return (
-        requests.withColumns({c: blank_to_null(F.col(c)) for c in ("HomeTeam", "AwayTeam")})
+    named = requests.withColumns({c: blank_to_null(F.col(c)) for c in ("HomeTeam", "AwayTeam")})
+    checked = (
+        with_numbers(named)
         .withColumns({"team_errors": team_errors(), "stat_errors": stat_errors(), "range_errors": range_errors()})
         .withColumns({"errors": F.concat(teams, stats, ranges), "error_code": code})
         .drop("team_errors", "stat_errors", "range_errors")
     )
+    return without_numbers(checked)
 
 
 def accepted(requests: DataFrame) -> DataFrame:
-    return checked_requests(requests).where(F.col("error_code").isNull()).drop("errors", "error_code")
+    """Requests without any error, their fields as numbers."""
+    numbers = with_numbers(requests.withColumns({c: blank_to_null(F.col(c)) for c in ("HomeTeam", "AwayTeam")}))
+    fine = numbers.where(no_errors())
+    return without_numbers(fine.withColumns({c: F.col(f"__{c}") for c in FIELD_LIMITS}))
 
 
 def rejects(requests: DataFrame, key: str = "match_id") -> DataFrame:

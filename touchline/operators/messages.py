@@ -227,7 +227,7 @@ def _prediction_text() -> Column:
 def _club_text(lowered: Column) -> Column:
     reply = F.lit(ASK_CLUB)
     for club, (with_row, without_row) in reversed(CLUB_CARDS.items()):
-        points, wins = F.col(f"{club}_Points"), F.col(f"{club}_Wins")
+        points, wins = F.col("__clubs")[f"{club}_Points"], F.col("__clubs")[f"{club}_Wins"]
         card = F.when(points.isNotNull(), F.concat(
             F.lit(f"⚽ **{club}:** Currently "), points, F.lit(" points with "), wins, F.lit(f" wins. {with_row}"),
         )).otherwise(f"⚽ **{club}:** {without_row}")
@@ -246,9 +246,8 @@ def answers(messages: DataFrame, stats: Lookup) -> DataFrame:
     for side in ("1", "2"):
         rows = display.join(rows, {f"team{side}": "Team"}, {c: f"{c}_{side}" for c in ("Points", "Wins")})
     rows = with_points_pick(rows)
-    for club in CLUB_CARDS:
-        one = stats.table.where(F.col("Team") == club)
-        rows = rows.withColumns({f"{club}_{c}": one.agg(F.max(c).alias(c)).scalar() for c in ("Points", "Wins")})
+    cells = [F.max(F.when(F.col("Team") == club, F.col(c))).alias(f"{club}_{c}") for club in CLUB_CARDS for c in ("Points", "Wins")]
+    rows = rows.withColumn("__clubs", stats.table.agg(F.struct(*cells).alias("clubs")).scalar())
     rows = _with_mentioned(_lowered(rows), stats)
     intent = F.col("intent")
     reply = (

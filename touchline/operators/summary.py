@@ -81,15 +81,15 @@ def correlation_pairs(matches: DataFrame, columns: tuple[str, ...] = MEASURES, p
     products = [F.sum(F.col(x) * F.col(y)).alias(f"p_{x}_{y}") for x, y in pairs]
     total = matches.agg(F.count(F.lit(1)).cast("double").alias("n"), *sums, *squares, *products)
 
-    def spread(c: str) -> Column:
-        return F.col("n") * F.col(f"q_{c}") - F.col(f"s_{c}") * F.col(f"s_{c}")
-
-    def correlation(x: str, y: str) -> Column:
-        joint = F.col("n") * F.col(f"p_{x}_{y}") - F.col(f"s_{x}") * F.col(f"s_{y}")
-        return F.round(F.try_divide(joint, F.sqrt(spread(x)) * F.sqrt(spread(y))), places)
-
-    rows = [F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), correlation(x, y).alias("r")) for x, y in pairs]
-    return total.select(F.inline(F.array(*rows)))
+    def cell(x: str, y: str) -> Column:
+        parts = {"sx": f"s_{x}", "sy": f"s_{y}", "qx": f"q_{x}", "qy": f"q_{y}", "p": f"p_{x}_{y}"}
+        return F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), *[F.col(c).alias(name) for name, c in parts.items()])
+
+    cells = total.select("n", F.inline(F.array(*[cell(x, y) for x, y in pairs])))
+    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
+    spread = F.sqrt(n * F.col("qx") - sx * sx) * F.sqrt(n * F.col("qy") - sy * sy)
+    r = F.try_divide(n * F.col("p") - sx * sy, spread)
+    return cells.select("x", "y", F.round(r, places).alias("r"))
 
 
 def dataset_summary(matches: DataFrame) -> DataFrame:

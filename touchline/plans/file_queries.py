@@ -9,7 +9,7 @@ from touchline.functions.match_columns import with_match_features
 from touchline.operators import clean, league
 from touchline.plans.base_sql import CLEAN, MATCHES, RAW, columns, q, stats_cte
 from touchline.plans.registry import Registry
-from touchline.plans.table_queries import FEATURES_SQL
+from touchline.plans.table_queries import FEATURES_SQL, raw_table
 from touchline.runtime import scratch_path
 from touchline.schema import FULL_FEATURES, MATCH_COLUMNS, RESULT_CODES
 from touchline.sources import csv_files, star_tables, tables
@@ -19,7 +19,7 @@ query = REGISTRY.query
 
 
 def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.clean_matches(star_tables.raw_matches(spark, sf_dir))
+    return clean.clean_matches(raw_table(spark, sf_dir))
 
 
 def _write_seasons(raw: DataFrame, folder: str) -> None:
@@ -43,7 +43,7 @@ _YEAR = "coalesce(try_strptime(\"Date\", '%Y-%m-%d'), try_strptime(\"Date\", '%d
 SELECT * EXCLUDE (match_id, k, i, raw_day, y) REPLACE (CASE WHEN y=1995 THEN 0 ELSE "HF" END AS "HF", CASE WHEN y=1995 THEN 0 ELSE "AF" END AS "AF") FROM d""")
 def csv_scan_union(spark, sf_dir):
     folder = scratch_path(spark, "seasons")
-    _write_seasons(star_tables.raw_matches(spark, sf_dir), folder)
+    _write_seasons(raw_table(spark, sf_dir), folder)
     return clean.clean_matches(csv_files.scan_season_files(spark, folder).matches)
 
 

@@ -14,8 +14,8 @@ from touchline.functions.match_columns import feature_vectors
 from touchline.operators import clean, feature_stats, league, metrics, models, splits
 from touchline.plans.base_sql import CLEAN, MATCHES, q, text
 from touchline.plans.registry import Registry
-from touchline.plans.table_queries import full_features_sql
-from touchline.runtime import scratch_path
+from touchline.plans.table_queries import full_features_sql, raw_table, request_table
+from touchline.runtime import scratch_path, written_table
 from touchline.schema import FEATURE_DESCRIPTIONS, FULL_FEATURES, HALF_TIME_FEATURES, STATS_FEATURES
 from touchline.sources import star_tables, tables
 
@@ -50,7 +50,8 @@ cuts AS (SELECT "FTR", max(draw) AS cut FROM placed WHERE place <= ceil(n*0.2::D
 SELECT "FTR" AS label, (count(*) FILTER (WHERE draw > cut)) AS train_rows, (count(*) FILTER (WHERE draw <= cut)) AS test_rows
 FROM drawn JOIN cuts USING ("FTR") GROUP BY 1""")
 def split_counts_stratified(spark, sf_dir):
-    return splits.split_counts(splits.with_stratified_split(_matches(spark, sf_dir), "FTR"), "FTR")
+    keys = written_table(_matches(spark, sf_dir).select("match_id", "FTR"), "split-keys")
+    return splits.split_counts(splits.with_stratified_split(keys, "FTR"), "FTR")
 
 
 _SCORES = f"""WITH {CLEAN}, full_ AS ({full_features_sql('cleaned', '0', '0', 'match_id, "FTR"')}),
@@ -62,7 +63,7 @@ scores AS (SELECT feature, score, score IS NOT NULL AND row_number() OVER (ORDER
 
 
 def _training_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feature_vectors(clean.clean_matches(star_tables.raw_matches(spark, sf_dir)), "train", "FTR")
+    return feature_vectors(clean.clean_matches(raw_table(spark, sf_dir)), "train", "FTR")
 
 
 @query(f"{_SCORES} SELECT * FROM scores")
@@ -144,13 +145,13 @@ def feature_importance(spark, sf_dir):
 
 @query()
 def ml_score(spark, sf_dir):
-    requests = star_tables.typed_requests(star_tables.requests(spark, sf_dir))
+    requests = star_tables.typed_requests(request_table(spark, sf_dir))
     return models.score_matches(_full_model(spark, sf_dir), requests)
 
 
 @query()
 def ml_contributions(spark, sf_dir):
-    requests = star_tables.typed_requests(star_tables.requests(spark, sf_dir))
+    requests = star_tables.typed_requests(request_table(spark, sf_dir))
     return models.score_with_contributions(_full_model(spark, sf_dir), requests)
 
 

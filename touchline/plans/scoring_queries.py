@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions.labels import HALF_TIME_LABELS, RESULT_LABELS
-from touchline.functions.validation import FIELD_LIMITS, merged_stat_errors, range_errors, stat_errors
+from touchline.functions.validation import FIELD_LIMITS, merged_stat_errors, range_errors, stat_errors, with_numbers
 from touchline.operators import envelopes, league, metrics, scoring
 from touchline.plans.base_sql import MATCHES, REQUEST_MEASURES, REQUESTS, q, stats_cte, text
 from touchline.plans.registry import Registry
+from touchline.plans.table_queries import request_table
 from touchline.runtime import Lookup, scratch_path
 from touchline.schema import HALF_TIME_GOALS, MATCH_STATS, RESULT_CODES
 from touchline.sources import star_tables, tables
@@ -35,11 +36,11 @@ def _unknown_teams(matches: DataFrame) -> DataFrame:
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return star_tables.requests(spark, sf_dir)
+    return request_table(spark, sf_dir)
 
 
 def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return star_tables.typed_requests(envelopes.accepted(_requests(spark, sf_dir)))
+    return envelopes.accepted(_requests(spark, sf_dir))
 
 
 # --- request checks -------------------------------------------------------------
@@ -73,7 +74,7 @@ _TEAM_ERRORS = _messages([
 @query(f"""WITH {REQUESTS}, e AS (SELECT match_id, {_STAT_ERRORS} AS errors, {_MERGED_ERRORS} AS merged FROM requests)
 SELECT match_id, array_to_string(errors, '; ') AS errors, array_to_string(merged, '; ') AS merged_errors, len(errors)::INTEGER AS n_errors FROM e""")
 def validate_matches(spark, sf_dir):
-    checked = _requests(spark, sf_dir).withColumns({"errors": stat_errors(), "merged": merged_stat_errors()})
+    checked = with_numbers(_requests(spark, sf_dir)).withColumns({"errors": stat_errors(), "merged": merged_stat_errors()})
     return checked.select(
         "match_id", F.array_join("errors", "; ").alias("errors"),
         F.array_join("merged", "; ").alias("merged_errors"), F.size("errors").alias("n_errors"),
@@ -83,7 +84,7 @@ def validate_matches(spark, sf_dir):
 @query(f"""WITH {REQUESTS}, e AS (SELECT match_id, {_RANGE_ERRORS} AS errors FROM requests)
 SELECT match_id, array_to_string(errors, '; ') AS errors FROM e WHERE len(errors) > 0""")
 def range_violations(spark, sf_dir):
-    bad = _requests(spark, sf_dir).select("match_id", range_errors().alias("errors")).where(F.size("errors") > 0)
+    bad = with_numbers(_requests(spark, sf_dir)).select("match_id", range_errors().alias("errors")).where(F.size("errors") > 0)
     return bad.select("match_id", F.array_join("errors", "; ").alias("errors"))
 
 

@@ -10,7 +10,7 @@ from touchline.functions.match_columns import feature_vectors, with_match_featur
 from touchline.operators import clean, compare, league, streaks, summary
 from touchline.plans.base_sql import CLEAN, GOALS, MATCHES, REQUESTS, WITH_MATCHES, WITH_STATS, columns, q, sides, table_sql, text
 from touchline.plans.registry import Registry
-from touchline.runtime import Lookup
+from touchline.runtime import Lookup, written_table
 from touchline.schema import FULL_FEATURES, HALF_TIME_GOALS, MATCH_COLUMNS, MATCH_STATS, MEASURES
 from touchline.sources import star_tables
 
@@ -22,6 +22,16 @@ def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return star_tables.matches(spark, sf_dir)
 
 
+def raw_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw matches as the stored texts they stand for, so that cleaning starts at a scan."""
+    return written_table(star_tables.raw_matches(spark, sf_dir), "raw")
+
+
+def request_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prediction requests as a stored table."""
+    return written_table(star_tables.requests(spark, sf_dir), "requests")
+
+
 def _stats(spark: SparkSession, sf_dir: str) -> Lookup:
     return Lookup(league.team_stats(_matches(spark, sf_dir)))
 
@@ -30,14 +40,14 @@ def _stats(spark: SparkSession, sf_dir: str) -> Lookup:
 
 @query(f"WITH {CLEAN} SELECT match_id, {columns(MATCH_COLUMNS)} FROM cleaned")
 def clean_matches(spark, sf_dir):
-    return clean.clean_matches(star_tables.raw_matches(spark, sf_dir))
+    return clean.clean_matches(raw_table(spark, sf_dir))
 
 
 @query(f"""WITH {CLEAN}, r AS (SELECT count(*) AS raw_rows, count(*) FILTER (WHERE "AwayTeam" IS NULL OR "HomeTeam" IS NULL) AS dropped_rows,
   count(*) FILTER (WHERE "FTR" IS NULL) AS defaulted_results, count(*) FILTER (WHERE "Date"='n/a') AS undated_rows,
   count(*) FILTER (WHERE "HS" IS NULL OR "HS"='x') AS zeroed_rows FROM raw) SELECT * FROM r""")
 def cleaning_report(spark, sf_dir):
-    return clean.cleaning_report(star_tables.raw_matches(spark, sf_dir))
+    return clean.cleaning_report(raw_table(spark, sf_dir))
 
 
 FEATURES_SQL = """"FTHG"+"FTAG" AS "TotalGoals", year("Date") AS "Season", month("Date") AS "Month",
@@ -73,7 +83,7 @@ _REQUEST_NUMBERS = ", ".join(f'coalesce(try_cast({q(c)} AS DOUBLE), 0.0::DOUBLE)
 @query(f"""WITH {REQUESTS}, typed AS (SELECT match_id, "Date", "HTR", {_REQUEST_NUMBERS} FROM requests)
 {full_features_sql('typed', '9', '5')}""")
 def score_features(spark, sf_dir):
-    requests = star_tables.typed_requests(star_tables.requests(spark, sf_dir))
+    requests = star_tables.typed_requests(request_table(spark, sf_dir))
     return feature_vectors(requests, "score", "match_id")
 
 
