@@ -78,7 +78,8 @@ class Lookup:
         if self.small:
             return facts.join(F.broadcast(picked), _all(match), how).drop(*drop)
         salted = facts.withColumn("__salt", F.pmod(F.xxhash64(*[_hashable(facts, c) for c in facts.columns]), self.salts))
-        spread = picked.withColumn("__lsalt", F.explode(F.sequence(F.lit(0), F.lit(self.salts - 1))).cast("bigint"))
+        every_salt = F.sequence(F.lit(0).cast("bigint"), F.lit(self.salts - 1).cast("bigint"))
+        spread = picked.withColumn("__lsalt", F.explode(every_salt))
         match.append(F.col("__salt") == F.col("__lsalt"))
         return salted.join(spread, _all(match), how).drop("__salt", "__lsalt", *drop)
 
