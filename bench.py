@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR (default /root/testdata/sf0.1) is read on local[BENCH_CPUS]; every
 query writes all of its rows to a no-op sink.  A query's time is the median of
-BENCH_RUNS runs (default 3) after one warm-up run.
+BENCH_RUNS runs (default 1) after one warm-up run.
 """
 
 from __future__ import annotations
@@ -17,11 +17,9 @@ from touchline.plans.catalog import QUERIES
 from touchline.session import local_session
 
 HEADLINE = (
-    "league_table", "team_features", "clean_matches", "match_features", "match_features_full", "correlation_pairs",
-    "feature_scores", "outcome_distribution", "goals_histogram", "kpi_summary", "scatter_points", "streak_continuation",
-    "team_comparison", "score_fixtures", "score_requests", "prediction_json", "rejects", "accuracy_summary",
-    "classification_report", "message_answers", "split_counts_stratified", "csv_scan_union", "roundtrip_features",
-    "score_stream",
+    "league_table", "team_features", "clean_matches", "match_features_full", "correlation_pairs", "outcome_distribution",
+    "goals_histogram", "kpi_summary", "scatter_points", "streak_continuation", "team_comparison", "score_fixtures",
+    "score_requests", "classification_report", "message_answers", "split_counts_stratified", "roundtrip_features",
 )
 
 
@@ -33,7 +31,7 @@ def timed(spark, sf_dir: str, name: str) -> float:
 
 def main(names: tuple[str, ...]) -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     spark = local_session("bench", os.environ.get("BENCH_CPUS", "8"))
     seconds = {}
     for name in names:
