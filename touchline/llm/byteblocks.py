@@ -23,9 +23,10 @@ ALNUM_ONLY = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 
 _FACTOR = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
-_folded = np.arange(256, dtype=np.uint64)
-_folded[65:91] += np.uint64(32)
-_VALUES = mix64((_folded + np.uint64(1)) * np.uint64(0x2545F4914F6CDD1D))
+_exact = np.arange(256, dtype=np.uint64)
+_EXACT_VALUES = mix64((_exact + np.uint64(1)) * np.uint64(0x2545F4914F6CDD1D))
+_FOLDED_VALUES = _EXACT_VALUES.copy()
+_FOLDED_VALUES[65:91] = _EXACT_VALUES[97:123]
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -91,11 +92,16 @@ def words(block: Block, separators: np.ndarray) -> Words:
     last = offsets[1:][offsets[1:] > 0] - 1
     ends[last] = inside[last]
     first, stop = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    return Words(span_hashes(data, first, stop, folded=True), first, stop, np.searchsorted(first, offsets))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, folded: bool) -> np.ndarray:
+    """64-bit hashes of byte spans, with ASCII capitals as small letters if ``folded``."""
+    n = len(data)
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(_VALUES[data] * _power("up", _FACTOR, n), out=sums[1:])
-    hashes = mix64((sums[stop] - sums[first]) * _power("down", _INVERSE, n)[first])
-    return Words(hashes, first, stop, np.searchsorted(first, offsets))
+    np.cumsum((_FOLDED_VALUES if folded else _EXACT_VALUES)[data] * _power("up", _FACTOR, n), out=sums[1:])
+    return mix64((sums[ends] - sums[starts]) * _power("down", _INVERSE, n)[starts])
 
 
 def row_of(counts_from: np.ndarray) -> np.ndarray:

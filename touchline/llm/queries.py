@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from touchline.llm import language_id
+from touchline.llm import language_id, piece_codec, token_counts
 from touchline.llm.shared import fold, table
 from touchline.plans.registry import Registry
 
@@ -20,4 +21,16 @@ def op10_language_id(spark, sf_dir):
     return language_id.predict(held_out, model, keep_text=False)
 
 
+@REGISTRY.query()
+def op3_token_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+@REGISTRY.query()
+def op7_piece_codec(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_codec.encoded_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES, ORACLES = REGISTRY.queries, REGISTRY.oracles
