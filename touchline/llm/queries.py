@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from touchline.llm import language_id, piece_codec, token_counts
+from touchline.llm import language_id, piece_codec, quality_vote, token_counts
 from touchline.llm.shared import fold, table
 from touchline.plans.registry import Registry
 
@@ -21,6 +21,15 @@ def op10_language_id(spark, sf_dir):
     return language_id.predict(held_out, model, keep_text=False)
 
 
+@REGISTRY.query()
+def op2_quality_vote(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    voters = quality_vote.fit(docs, labels, fold("doc_id", 5) != 0)
+    held_out = docs.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "text")
+    return quality_vote.score(held_out, voters, keep_text=False)
+
+
 @REGISTRY.query()
 def op3_token_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
