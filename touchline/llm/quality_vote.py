@@ -1,8 +1,8 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
 A text is a bag of terms: its words (hashed into buckets) and their shapes, such
-as capitals only, a symbol at the end, or the same word again.  Log counts,
-weighted by inverse document frequency and scaled to unit length, are projected
+as capitals only, a symbol at the end, or the same word for the third time in a row.  Log counts,
+weighted by inverse document frequency and scaled, are projected
 on the leading singular directions of a bounded training sample, and scaled
 again.  The sample's vectors with their labels are broadcast (their number and
 width are parameters); the cosine of every text with every one of them comes
@@ -26,6 +26,8 @@ from touchline.llm.shared import append_columns
 WORD_BUCKETS = 704
 SHAPE_BUCKETS = 320
 TERMS = WORD_BUCKETS + SHAPE_BUCKETS
+#: Length of the word part of a bag; the part of the shapes has length 1.
+WORD_SHARE = 0.4
 #: Training texts of one class; they are those with the smallest hashes of their keys.
 MAX_PER_CLASS = 1500
 DIMENSIONS = 32
@@ -71,7 +73,8 @@ def term_counts(block: byteblocks.Block) -> np.ndarray:
     large = np.concatenate([[0], np.cumsum(kind == 1)])
     shout = (small[found.ends] == small[found.starts]) & (large[found.ends] - large[found.starts] > 1)
     again = np.zeros(len(row), bool)
-    again[1:] = (found.hashes[1:] == found.hashes[:-1]) & (row[1:] == row[:-1])
+    same = found.hashes[1:] == found.hashes[:-1]
+    again[2:] = same[1:] & same[:-1] & (row[2:] == row[:-2])
     ending = np.where(last < 4, 0, 1 + 2 * (last - 4) + (last == before) * (size > 1))  # which symbol, and whether twice
     shape = np.where(ending > 0, ending + 8, np.minimum(size, 8) % 4)
     shape = np.where(shout, 120 + np.minimum(ending, 90), shape)
@@ -86,6 +89,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
 
 
+def _bags(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weighted log counts; words and shapes are scaled to fixed lengths, so that neither drowns the other."""
+    logs = np.log1p(counts) * weight
+    return np.concatenate([WORD_SHARE * _unit(logs[:, :WORD_BUCKETS]), _unit(logs[:, WORD_BUCKETS:])], axis=1)
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, learn, key: str = "doc_id", text: str = "text", label: str = "quality",
                     max_per_class: int = MAX_PER_CLASS):
     """Labels 0 or 1 and term counts of a bounded sample; and the labelled rows of each class.
@@ -125,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, key: str = "doc_id", text: st
     if not sizes.all():
         return None
     weight = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0)))
-    bags = _unit(np.log1p(counts) * weight)
+    bags = _bags(counts, weight)
     # Right singular vectors from the small square matrix; the sample is never decomposed itself.
     values, vectors = np.linalg.eigh(bags.T @ bags)
     directions = vectors[:, np.argsort(-values)[:dimensions]]
@@ -135,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, key: str = "doc_id", text: st
 
 
 def project(voters: Voters, block: byteblocks.Block) -> np.ndarray:
-    return _unit(_unit(np.log1p(term_counts(block)) * voters.weight) @ voters.directions)
+    return _unit(_bags(term_counts(block), voters.weight) @ voters.directions)
 
 
 def vote(voters: Voters, vectors: np.ndarray) -> np.ndarray:
