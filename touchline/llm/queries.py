@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from touchline.llm import language_id, piece_codec, quality_vote, token_counts
+from touchline.llm import decontaminate, language_id, piece_codec, quality_vote, token_counts
 from touchline.llm.shared import fold, table
 from touchline.plans.registry import Registry
 
@@ -36,6 +36,16 @@ def op3_token_counts(spark, sf_dir):
     return token_counts.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+@REGISTRY.query()
+def op6_benchmark_passages(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_passages(docs, table(spark, sf_dir, "benchmark"))
+    n_hit = decontaminate.words_hit()
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
 @REGISTRY.query()
 def op7_piece_codec(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
