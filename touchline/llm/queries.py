@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from touchline.llm import decontaminate, language_id, piece_codec, quality_vote, token_counts
+from touchline.llm import decontaminate, language_id, piece_codec, quality_vote, sharding, token_counts, url_trust
 from touchline.llm.shared import fold, table
 from touchline.plans.registry import Registry
 
@@ -36,6 +36,21 @@ def op3_token_counts(spark, sf_dir):
     return token_counts.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+#: The rules of the query.
+PAGE_RULES = [
+    url_trust.Rule("net", "/", "block"),
+    url_trust.Rule("example.net", "/en/", "allow"),
+    url_trust.Rule("example.com", "/de/", "block"),
+    url_trust.Rule("org", "/fr/", "allow"),
+]
+
+
+@REGISTRY.query()
+def op4_url_trust(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return url_trust.judged(pages, PAGE_RULES).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+
+
 @REGISTRY.query()
 def op6_benchmark_passages(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -52,4 +67,11 @@ def op7_piece_codec(spark, sf_dir):
     return piece_codec.encoded_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@REGISTRY.query()
+def op8_minimax_shards(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.assign_shards(docs, 24).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES, ORACLES = REGISTRY.queries, REGISTRY.oracles
