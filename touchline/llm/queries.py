@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from touchline.llm import decontaminate, language_id, piece_codec, quality_vote, sharding, token_counts, url_trust
-from touchline.llm.shared import fold, table
+from touchline.llm import decontaminate, language_id, piece_codec, quality_vote, sharding, token_counts, url_trust, vector_dedup
+from touchline.llm.shared import fold, ship_package, table
 from touchline.plans.registry import Registry
 
 REGISTRY = Registry()
 
 
-@REGISTRY.query()
+def _registered(build):
+    """Registers a query that first sends this package to the executors."""
+    @wraps(build)
+    def run(spark, sf_dir):
+        ship_package(spark)
+        return build(spark, sf_dir)
+    return REGISTRY.query()(run)
+
+
+@_registered
 def op10_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     remainder = fold("doc_id", 5)
@@ -21,7 +32,12 @@ def op10_language_id(spark, sf_dir):
     return language_id.predict(held_out, model, keep_text=False)
 
 
-@REGISTRY.query()
+@_registered
+def op1_vector_dedup(spark, sf_dir):
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@_registered
 def op2_quality_vote(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
@@ -30,7 +46,7 @@ def op2_quality_vote(spark, sf_dir):
     return quality_vote.score(held_out, voters, keep_text=False)
 
 
-@REGISTRY.query()
+@_registered
 def op3_token_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -45,13 +61,13 @@ PAGE_RULES = [
 ]
 
 
-@REGISTRY.query()
+@_registered
 def op4_url_trust(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return url_trust.judged(pages, PAGE_RULES).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
 
 
-@REGISTRY.query()
+@_registered
 def op6_benchmark_passages(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_passages(docs, table(spark, sf_dir, "benchmark"))
@@ -61,13 +77,13 @@ def op6_benchmark_passages(spark, sf_dir):
         F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-@REGISTRY.query()
+@_registered
 def op7_piece_codec(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return piece_codec.encoded_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
-@REGISTRY.query()
+@_registered
 def op8_minimax_shards(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.assign_shards(docs, 24).select(
