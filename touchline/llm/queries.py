@@ -7,7 +7,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from touchline.llm import decontaminate, language_id, piece_codec, quality_vote, sharding, token_counts, url_trust, vector_dedup
+from touchline.llm import decontaminate, jaccard_join, language_id, piece_codec, quality_vote, sharding, token_counts, url_trust, vector_dedup
 from touchline.llm.shared import fold, ship_package, table
 from touchline.plans.registry import Registry
 
@@ -23,6 +23,11 @@ def _registered(build):
     return REGISTRY.query()(run)
 
 
+@_registered
+def op9_jaccard_classes(spark, sf_dir):
+    return jaccard_join.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @_registered
 def op10_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")

@@ -74,7 +74,7 @@ def bucket_count(spark: SparkSession, df: DataFrame, per_bucket: int) -> int:
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers."""
-    x = np.asarray(x, dtype=np.uint64)
+    x = np.atleast_1d(np.asarray(x, dtype=np.uint64))  # arrays wrap around silently
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
