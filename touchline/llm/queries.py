@@ -7,7 +7,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from touchline.llm import decontaminate, jaccard_join, language_id, piece_codec, quality_vote, sharding, token_counts, url_trust, vector_dedup
+from touchline.llm import decontaminate, jaccard_join, kneser_ney, language_id, piece_codec, quality_vote, sharding, token_counts, url_trust, vector_dedup
 from touchline.llm.shared import fold, ship_package, table
 from touchline.plans.registry import Registry
 
@@ -72,6 +72,17 @@ def op4_url_trust(spark, sf_dir):
     return url_trust.judged(pages, PAGE_RULES).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
 
 
+@_registered
+def op5_kneser_ney(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    remainder = fold("doc_id", 7)
+    model = kneser_ney.train(docs, remainder != 2)
+    held_out = docs.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "text")
+    scored = kneser_ney.score(held_out, model, keep_text=False)
+    train_tokens = F.lit(model.tokens if model else 0).cast("long")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", train_tokens.alias("train_tokens"), "base_score", "score", "perplexity")
+
+
 @_registered
 def op6_benchmark_passages(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
