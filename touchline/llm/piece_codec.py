@@ -311,10 +311,11 @@ def _is_character(raw: bytes) -> bool:
         return False
 
 
-def encoded_digests(docs: DataFrame, path: str, text: str = "text", keep_text: bool = False) -> DataFrame:
+def encoded_digests(docs: DataFrame, path: str, text: str = "text", keep_text: bool = False, with_ids: bool = False) -> DataFrame:
     """Adds n_tokens, ids_sha256 and decoded_sha256: all ids with begin and end, and what they decode to.
 
-    A null text counts as empty and has the two ids begin and end.
+    ``with_ids`` adds token_ids, too.  A null text counts as empty and has the
+    two ids begin and end.
     """
 
     def start():
@@ -323,18 +324,22 @@ def encoded_digests(docs: DataFrame, path: str, text: str = "text", keep_text: b
         begin, end = (np.array([i], "<u4").tobytes() for i in (model.begin, model.end))
 
         def compute(column: pa.Array) -> list:
-            counts, ids_digest, text_digest = [], [], []
+            counts, ids_digest, text_digest, rows = [], [], [], []
             for ids, offsets in encoder.encode(column):
                 raw, numbers = ids.astype("<u4").tobytes(), ids.tolist()
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
                     counts.append(b - a + 2)
                     ids_digest.append(hashlib.sha256(begin + raw[4 * a: 4 * b] + end).hexdigest())
-                    text_digest.append(hashlib.sha256(decode_ids(model, [model.begin, *numbers[a:b], model.end])).hexdigest())
-            return [pa.array(counts, pa.int64()), pa.array(ids_digest, pa.string()), pa.array(text_digest, pa.string())]
+                    whole = [model.begin, *numbers[a:b], model.end]
+                    text_digest.append(hashlib.sha256(decode_ids(model, whole)).hexdigest())
+                    if with_ids:
+                        rows.append(np.array(whole, np.int32))
+            out = [pa.array(counts, pa.int64()), pa.array(ids_digest, pa.string()), pa.array(text_digest, pa.string())]
+            return out + [pa.array(rows, pa.list_(pa.int32()))] * with_ids
 
         return compute
 
-    return append_columns(docs, text, DIGEST_FIELDS, start, keep_text)
+    return append_columns(docs, text, DIGEST_FIELDS + [("token_ids", "array<int>")] * with_ids, start, keep_text)
 
 
 def encoded(docs: DataFrame, path: str, text: str = "text", keep_text: bool = True) -> DataFrame:
