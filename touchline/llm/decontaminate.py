@@ -146,10 +146,9 @@ class ItemAutomaton:
             for place, reach, numbers in self.stream(ids):
                 last = begin + place + 1
                 first = last - reach
-                if spans[row] and spans[row][-1][1] >= first:
-                    # A longer window may reach back over several spans.
-                    while spans[row] and spans[row][-1][1] >= first:
-                        first = min(first, spans[row].pop()[0])
+                # A longer window may reach back over several spans.
+                while spans[row] and spans[row][-1][1] > first:
+                    first = min(first, spans[row].pop()[0])
                 spans[row].append((first, last))
                 items[row] |= numbers
         for row in range(block.rows):
@@ -201,7 +200,7 @@ def _merged(spans: Column) -> Column:
         last = F.try_element_at(done, F.lit(-1))
         longer = F.struct(last["begin"].alias("begin"), F.greatest(last["end"], span["end"]).alias("end"))
         joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))
-        return F.when(last["end"] >= span["begin"], joined).otherwise(F.concat(done, F.array(span)))
+        return F.when(last["end"] > span["begin"], joined).otherwise(F.concat(done, F.array(span)))
 
     return F.aggregate(F.array_sort(spans), F.array().cast(SPAN), add)
 

@@ -464,7 +464,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     smallest = linked.groupBy("c").agg(F.min("doc").alias("component_id"))
     of_set = linked.join(smallest, "c").select("set_name", "component_id")
     out = named.join(of_set, "set_name", "left")
-    return out.select(F.col("id").alias(key), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    return out.select(F.col("id").alias(key), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", max_broadcast: int = 1_000_000, **options) -> DataFrame:

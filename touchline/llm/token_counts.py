@@ -51,7 +51,7 @@ class StableTokenizer:
         normal = {n["type"] for n in _parts(parts["normalizer"], "normalizers")}
         before = _parts(parts["pre_tokenizer"], "pretokenizers")
         special = [t["content"] for t in parts["added_tokens"]]
-        split = before[0]
+        split = before[0] if before else {"type": None}
         fine = (
             normal <= {"NFC", "Replace", "Lowercase"}
             and all(n["pattern"] == {"Regex": "\\s+"} and n["content"] == " " for n in _parts(parts["normalizer"], "normalizers") if n["type"] == "Replace")
@@ -82,37 +82,41 @@ class StableTokenizer:
         if len(text) <= chunk:
             return self.encode(text)[0]
         done = []
-        begin, end = 0, chunk
+        begin, end, since = 0, chunk, 0  # since: the last seam
         ids, starts = self.encode(text[:end])
         while end < len(text):
             wide = min(overlap, end - begin)
             while True:
                 next_begin, next_end = end - wide, min(len(text), end - wide + max(chunk, 2 * wide))
                 next_ids, next_starts = self.encode(text[next_begin:next_end])
-                seam = _seam(text, (ids, starts, begin), (next_ids, next_starts, next_begin), end)
+                seam = _seam(text, since, (ids, starts, begin), (next_ids, next_starts, next_begin), end)
                 if seam is not None or next_begin <= begin:
                     break
                 wide = min(2 * wide, end - begin)
             if seam is None:  # no stable boundary in all of this chunk: encode it as one with the next
                 end = min(len(text), end + chunk)
                 ids, starts = self.encode(text[begin:end])
+                keep = starts + begin >= since
+                ids, starts = ids[keep], starts[keep]
                 continue
             done.append(ids[starts + begin < seam])
-            keep = next_starts + next_begin >= seam
             # Later seams lie behind this one, so what stands before it may go.
-            ids, starts, begin, end = next_ids[keep], next_starts[keep], next_begin, next_end
+            keep = next_starts + next_begin >= seam
+            ids, starts, begin, end, since = next_ids[keep], next_starts[keep], next_begin, next_end, seam
         return np.concatenate([*done, ids])
 
 
-def _parts(part: dict, name: str) -> list[dict]:
+def _parts(part: dict | None, name: str) -> list[dict]:
+    if part is None:
+        return []
     return part[name] if part["type"] == "Sequence" else [part]
 
 
-def _seam(text: str, left, right, end: int) -> int | None:
-    """The last stable boundary of the overlap before which both sides have equal tokens."""
+def _seam(text: str, since: int, left, right, end: int) -> int | None:
+    """The last stable boundary of the overlap before which both sides have equal tokens; behind the seam ``since``."""
     ids, starts, begin = left
     next_ids, next_starts, next_begin = right
-    stops = [m.end() for m in _STABLE.finditer(text, next_begin, end)]
+    stops = [m.end() for m in _STABLE.finditer(text, max(next_begin, since), end)]
     if stops and stops[-1] == end:
         stops.pop()  # the white space may go on behind the chunk
     for first, last in ((stops[0], stops[-1]),) if stops else ():
