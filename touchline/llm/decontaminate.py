@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm import byteblocks
-from touchline.llm.shared import append_columns
+from touchline.llm.shared import append_columns, packed, unpacked
 from touchline.runtime import written_table
 
 WINDOW = 10
@@ -248,19 +248,20 @@ def words_hit(spans: str = "word_spans") -> Column:
 def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
                    window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """The texts without their hit spans; texts with a larger share of hit words than ``max_coverage`` are gone."""
-    found = find_passages(docs, items, text, item_id, item_text, window)
+    found = find_passages(packed(docs, text), items, text, item_id, item_text, window)
     kept = found.filter(words_hit() <= F.col("n_words") * max_coverage)
     columns = docs.columns
+    rows = unpacked(kept.withColumn("__row", F.col("__row").withField("__spans", F.col("byte_spans"))), [*columns, "__spans"], text)
 
     def run(batches):
         for batch in batches:
             texts = batch.column(text).to_pylist()
-            for row, spans in enumerate(batch.column("byte_spans").to_pylist()):
+            for row, spans in enumerate(batch.column("__spans").to_pylist()):
                 if spans:
                     texts[row] = without_spans(texts[row], spans)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else batch.column(c) for c in columns], names=columns)
 
-    return kept.select(*[f"`{c}`" for c in columns], "byte_spans").mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, docs.schema)
 
 
 def without_spans(text: str, spans: list[dict]) -> str:

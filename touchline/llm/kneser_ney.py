@@ -29,19 +29,17 @@ it needs.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm import byteblocks
 from touchline.llm.shared import append_columns, blob_rows, mix64
+from touchline.llm.shared_files import mapped, write_arrays
 from touchline.runtime import scratch_path
 
 #: Tokens that a task counts or scores together.
@@ -87,45 +85,12 @@ def discounts(types_by_count: np.ndarray) -> np.ndarray:
     return np.array([0.0, *(min(max(d, 0.0), float(k)) for k, d in enumerate(found, 1))])
 
 
-# Files in the shared folder.
-
-def _place(path: str) -> tuple[fs.FileSystem, str]:
-    if "://" in path or path.startswith("file:"):
-        return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
-    return fs.LocalFileSystem(), path
-
-
-def _write(path: str, arrays: list[np.ndarray]) -> None:
-    """Under its name only when it is whole; a repeated task writes the same."""
-    store, name = _place(path)
-    store.create_dir(name.rpartition("/")[0], recursive=True)
-    part = f"{name}.{uuid.uuid4().hex}"
-    with store.open_output_stream(part, compression=None) as out:
-        for array in arrays:
-            out.write(np.ascontiguousarray(array).tobytes())
-    store.move(part, name)
-
-
-def _mapped(path: str) -> np.ndarray:
-    """The bytes of a file, mapped; one from another store than the machine's own is fetched and unlinked first."""
-    store, name = _place(path)
-    info = store.get_file_info(name)
-    if info.type == fs.FileType.NotFound or not info.size:
-        return np.zeros(0, np.uint8)
-    if isinstance(store, fs.LocalFileSystem):
-        return np.memmap(name, np.uint8, "r")
-    with tempfile.NamedTemporaryFile() as copy:
-        with store.open_input_stream(name, compression=None) as source:
-            while piece := source.read(1 << 22):
-                copy.write(piece)
-        copy.flush()
-        return np.memmap(copy.name, np.uint8, "r")
-
+# Files.
 
 def _open(model: Model, kind: str, bucket: int) -> np.ndarray:
     key = (kind, bucket)
     if key not in model.open_files:
-        model.open_files[key] = _mapped(f"{model.folder}/{kind}-{bucket}")
+        model.open_files[key] = mapped(f"{model.folder}/{kind}-{bucket}")
     return model.open_files[key]
 
 
@@ -278,7 +243,7 @@ def train(docs: DataFrame, learn: Column, text: str = "text") -> Model | None:
     def write_tokens(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
         keys, counts = _gathered(table)
-        _write(f"{folder}/tokens-{bucket}", [keys.astype("<u8"), counts.astype("<u4")])
+        write_arrays(f"{folder}/tokens-{bucket}", [keys.astype("<u8"), counts.astype("<u4")])
         return pa.table({"bucket": [bucket], "types": [len(keys)], "n": [int(counts.sum())]})
 
     found = rows.mapInArrow(emit_tokens, _BLOBS).groupBy("bucket").applyInArrow(write_tokens, "bucket long, types long, n long").collect()
@@ -301,7 +266,7 @@ def train(docs: DataFrame, learn: Column, text: str = "text") -> Model | None:
         model = shared.value
         bucket = table["bucket"][0].as_py()
         hashes, counts = _gathered(table)
-        _write(f"{folder}/bigrams-{bucket}", [hashes.astype("<u8"), counts.astype("<u4")])
+        write_arrays(f"{folder}/bigrams-{bucket}", [hashes.astype("<u8"), counts.astype("<u4")])
         pair = _unmixed(hashes)
         before, after = pair // np.uint64(model.types + 1), pair % np.uint64(model.types + 1)
         return _facts(model, before, after, counts)
@@ -316,7 +281,7 @@ def train(docs: DataFrame, learn: Column, text: str = "text") -> Model | None:
         base = int(model.first_id[bucket]) if bucket < 1 << model.bits else model.types
         sums = [np.bincount((items["id"] - np.uint64(base)).astype(np.int64), items[name], size).astype("<u4") for name in ("one", "two", "more", "before")]
         if bucket < 1 << model.bits:
-            _write(f"{folder}/facts-{bucket}", sums)
+            write_arrays(f"{folder}/facts-{bucket}", sums)
         by_count = np.sum([t for t in table["types"].to_pylist() if t is not None] or [[0] * 5], axis=0)
         own = np.bincount(np.minimum(sums[3], 5), minlength=6)[1:6] if bucket < 1 << model.bits else np.zeros(5, np.int64)
         begin = [int(s[0]) for s in sums[:3]] if bucket == 1 << model.bits else [0, 0, 0]

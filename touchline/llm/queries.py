@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from touchline.llm import decontaminate, jaccard_join, kneser_ney, language_id, piece_codec, quality_vote, sharding, token_counts, url_trust, vector_dedup
+from touchline.llm.oracles import BY_QUERY
 from touchline.llm.shared import fold, ship_package, table
 from touchline.plans.registry import Registry
 
@@ -20,7 +21,7 @@ def _registered(build):
     def run(spark, sf_dir):
         ship_package(spark)
         return build(spark, sf_dir)
-    return REGISTRY.query()(run)
+    return REGISTRY.query(BY_QUERY.get(build.__name__))(run)
 
 
 @_registered

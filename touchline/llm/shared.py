@@ -66,10 +66,15 @@ def append_columns(df: DataFrame, text: str, fields: list[tuple[str, str]], star
     return base.mapInArrow(run, T.StructType(kept + added))
 
 
-def bucket_count(spark: SparkSession, df: DataFrame, per_bucket: int) -> int:
-    """Buckets so that ``per_bucket`` rows of ``df`` meet in one, at least one a shuffle partition."""
-    rows = df.count()
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_bucket), 1)
+def packed(docs: DataFrame, text: str) -> DataFrame:
+    """The text and all other columns as one, out of the way of columns that an operator adds."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    return docs.select(F.struct(F.lit(0).alias("__"), *others).alias("__row"), text)
+
+
+def unpacked(rows: DataFrame, columns: list[str], text: str) -> DataFrame:
+    """``columns`` as they were before ``packed``, and no others."""
+    return rows.select(*[F.col(f"`{c}`") if c == text else F.col(f"__row.`{c}`").alias(c) for c in columns])
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
