@@ -116,7 +116,10 @@ def copies():
 
 
 @pytest.mark.parametrize("options", [{}, {"bucket_entries": 50}])
-def test_classes_match_brute_force(spark, options):
+def test_classes_match_brute_force(spark, options, monkeypatch):
+    if options:
+        for name, size in (("OPEN_BLOCK", 3), ("MEMBER_BLOCK", 4)):
+            monkeypatch.setattr(jaccard_join, name, size)
     rows = copies()
     docs = spark.createDataFrame(rows, DOCS).repartition(3).withColumn("n_shingles", F.lit("old"))
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.classes(docs, **options).collect())
@@ -132,16 +135,24 @@ def test_classes_with_repeated_and_missing_keys(spark):
     assert jaccard_join.classes(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_common_shingles(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "INCIDENCE_WIDTH", 5)
+    rng = np.random.default_rng(2)
+    left, right = ([np.unique(rng.integers(0, 60, rng.integers(0, 30))).astype(np.uint64) for _ in range(k)] for k in (7, 9))
+    assert jaccard_join._common(left, right).tolist() == [[len(np.intersect1d(x, y)) for y in right] for x in left]
+
+
 def test_pairs_of_a_list_skip_nothing_that_links():
     rng = np.random.default_rng(1)
     n = np.sort(rng.integers(5, 400, 900))
     p = (rng.random(900) * 0.2 * n).astype(int)
     s, c = np.arange(900), rng.integers(0, 700, 900)
-    got = {tuple(x) for part in jaccard_join._pairs_of_list(s, n, p, c, 80) for x in part.T.tolist()}
+    met = rng.random((900, 2)) < 0.3
+    got = {tuple(x) for part in jaccard_join._pairs_of_list(s, n, p, c, 80, met) for x in part.T.tolist()}
     for a in range(900):
         for b in range(a):
             reach = min(p[a], p[b]) + min(n[a] - p[a], n[b] - p[b])
-            want = c[a] != c[b] and 100 * min(n[a], n[b]) >= 80 * max(n[a], n[b]) and 180 * reach >= 80 * (n[a] + n[b])
+            want = c[a] != c[b] and not (met[a] & met[b]).any() and 100 * min(n[a], n[b]) >= 80 * max(n[a], n[b]) and 180 * reach >= 80 * (n[a] + n[b])
             assert want == ((b, a) in got)
 
 
