@@ -20,7 +20,8 @@ already, so that a word or context with any share of all tokens is spread:
 2. bigrams of ids: each bucket writes its sorted 64-bit bigram hashes (a
    bijection of the pair of ids) and their counts;
 3. what bigrams say about their tokens: successors with count 1, 2 and more, and
-   predecessors, one array of each per bucket of tokens.
+   predecessors, one array of each for up to 16 buckets of tokens, so that the
+   pieces that pass between buckets stay few.
 
 The files are in the shared folder.  Workers map them and look up sorted queries,
 so a batch goes through each file once, in order, and reads only the pages that
@@ -71,6 +72,22 @@ class Model:
     def types(self) -> int:
         return int(self.first_id[-1])
 
+    @property
+    def shift(self) -> int:
+        """So many bits more tell the buckets of tokens apart than those of facts."""
+        return min(4, self.bits - 4)
+
+    def id_range(self, bucket: int) -> tuple[int, int]:
+        """The ids of a bucket of facts; the last one behind all tokens has the begin."""
+        if bucket == 1 << (self.bits - self.shift):
+            return self.types, self.types + 1
+        return int(self.first_id[bucket << self.shift]), int(self.first_id[(bucket + 1) << self.shift])
+
+    def bucket_of(self, ids: np.ndarray) -> np.ndarray:
+        """The bucket of facts of known ids; buckets of tokens without any share an edge with the next one."""
+        place = (np.searchsorted(self.first_id, ids, side="right") - 1) >> self.shift
+        return np.where(ids == self.types, 1 << (self.bits - self.shift), place)
+
     def __getstate__(self):
         return {**self.__dict__, "open_files": {}}
 
@@ -277,14 +294,15 @@ def train(docs: DataFrame, learn: Column, text: str = "text") -> Model | None:
         model = shared.value
         bucket = table["bucket"][0].as_py()
         items = np.concatenate([np.zeros(0, _FACTS)] + [np.frombuffer(b.as_buffer(), _FACTS) for chunk in table["items"].chunks for b in chunk if b.is_valid])
-        size = int(model.first_id[bucket + 1] - model.first_id[bucket]) if bucket < 1 << model.bits else 1
-        base = int(model.first_id[bucket]) if bucket < 1 << model.bits else model.types
-        sums = [np.bincount((items["id"] - np.uint64(base)).astype(np.int64), items[name], size).astype("<u4") for name in ("one", "two", "more", "before")]
-        if bucket < 1 << model.bits:
-            write_arrays(f"{folder}/facts-{bucket}", sums)
+        base, end = model.id_range(bucket)
+        sums = [np.bincount((items["id"] - np.uint64(base)).astype(np.int64), items[name], end - base).astype("<u4") for name in ("one", "two", "more", "before")]
         by_count = np.sum([t for t in table["types"].to_pylist() if t is not None] or [[0] * 5], axis=0)
-        own = np.bincount(np.minimum(sums[3], 5), minlength=6)[1:6] if bucket < 1 << model.bits else np.zeros(5, np.int64)
-        begin = [int(s[0]) for s in sums[:3]] if bucket == 1 << model.bits else [0, 0, 0]
+        own, begin = np.zeros(5, np.int64), [0, 0, 0]
+        if base == model.types:
+            begin = [int(s[0]) for s in sums[:3]]
+        else:
+            write_arrays(f"{folder}/facts-{bucket}", sums)
+            own = np.bincount(np.minimum(sums[3], 5), minlength=6)[1:6]
         return pa.table({"types": pa.array([by_count.tolist()], pa.list_(pa.int64())), "own": pa.array([own.tolist()], pa.list_(pa.int64())), "begin": pa.array([begin], pa.list_(pa.int64()))})
 
     done = facts.groupBy("bucket").applyInArrow(write_facts, "types array<long>, own array<long>, begin array<long>").collect()
@@ -305,10 +323,7 @@ def _facts(model: Model, before: np.ndarray, after: np.ndarray, counts: np.ndarr
     for name, mine in (("one", counts == 1), ("two", counts == 2), ("more", counts > 2)):
         out[name] = np.bincount(left[mine], minlength=len(ids))
     out["before"] = np.bincount(right, minlength=len(ids))
-    bucket = np.searchsorted(model.first_id, ids, side="right") - 1
-    # Empty buckets share an edge; the begin (id = types) has a bucket of its own behind all others.
-    bucket = np.where(ids == model.types, 1 << model.bits, bucket)
-    rows = list(blob_rows(bucket, out))
+    rows = list(blob_rows(model.bucket_of(ids), out))
     by_count = np.bincount(np.minimum(counts, 5), minlength=6)[1:6].tolist()
     return pa.table({"bucket": pa.array([k for k, _ in rows], pa.int64()), "items": pa.array([b for _, b in rows], pa.binary()),
                      "types": pa.array([by_count] + [None] * (len(rows) - 1), pa.list_(pa.int64()))})
@@ -319,7 +334,7 @@ def _facts(model: Model, before: np.ndarray, after: np.ndarray, counts: np.ndarr
 def _token_facts(model: Model, ids: np.ndarray) -> np.ndarray:
     """[one, two, more, before] of sorted distinct known ids."""
     out = np.zeros((4, len(ids)))
-    bucket = np.searchsorted(model.first_id, ids, side="right") - 1
+    bucket = model.bucket_of(ids)
     cuts = np.flatnonzero(np.diff(bucket)) + 1
     for at, part in zip(np.concatenate([[0], cuts]), np.split(ids, cuts)):
         if len(part):
@@ -327,7 +342,7 @@ def _token_facts(model: Model, ids: np.ndarray) -> np.ndarray:
             raw = _open(model, "facts", b)
             if len(raw):
                 table = raw.view("<u4").reshape(4, -1)
-                out[:, at: at + len(part)] = table[:, part - model.first_id[b]]
+                out[:, at: at + len(part)] = table[:, part - model.id_range(b)[0]]
     return out
 
 
