@@ -46,7 +46,7 @@ PERCENT = 80
 #: Prefix entries that meet in one bucket of the index, about.
 BUCKET_ENTRIES = 250_000
 #: Entries that a task gathers before it passes them on.
-FLUSH_ENTRIES = 1_000_000
+FLUSH_ENTRIES = 400_000
 #: Bits of the filter by which a scan picks documents.
 MAX_FILTER_BITS = 1 << 27
 #: Leaders of a list.
@@ -140,7 +140,7 @@ def count_shingles(texts: DataFrame, folder: str, extra: int, words: int = WORDS
         for _, shingles in _distinct_sets(batches, words):
             held.append(shingles)
             size += len(shingles)
-            if size >= 4 * FLUSH_ENTRIES:
+            if size >= FLUSH_ENTRIES:
                 yield from pass_on(held)
                 held, size = [], 0
         if held:

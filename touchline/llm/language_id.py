@@ -31,6 +31,8 @@ ORDER = 3
 MAX_TEXTS = 1500
 #: Contexts of the highest order that stay in the tables: those seen most often.
 MAX_CONTEXTS = 60_000
+#: Bytes that are scored at once; each has a cost in every language.
+SCORED_BYTES = 1 << 18
 FIELDS = [("lang_pred", "string"), ("score", "double"), ("bits_per_byte", "double")]
 
 _fold = np.arange(256, dtype=np.uint8)
@@ -54,7 +56,7 @@ class ByteModel:
 
 def _counts_of_texts(column: pa.Array, langs: pa.Array, order: int):
     """(language, gram length, gram, count) of a batch, grams as integers of 9-bit symbols."""
-    for block in byteblocks.blocks(column, 4 << 20):
+    for block in byteblocks.blocks(column):
         data = _fold[block.data].astype(np.int64) + 1
         row = byteblocks.row_of(block.offsets)
         names, codes = np.unique(np.array(langs.slice(block.first, block.rows).to_pylist(), dtype=object).astype(str), return_inverse=True)
@@ -205,7 +207,7 @@ def predict(docs: DataFrame, model: ByteModel | None, text: str = "text", keep_t
                 lettered = np.zeros(len(column), bool)
             names = np.full(len(column), UNDETERMINED, dtype=object)
             score, bits = np.zeros(len(column)), np.full(len(column), np.nan)
-            for block in byteblocks.blocks(column) if model else ():
+            for block in byteblocks.blocks(column, SCORED_BYTES) if model else ():
                 lengths = code_lengths(model, block)
                 best = lengths.argmin(axis=1)
                 least = lengths[np.arange(block.rows), best]
