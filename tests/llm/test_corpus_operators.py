@@ -385,3 +385,20 @@ def test_links_spread_trust_and_distrust(spark):
     assert got[1] == ("farm.com", "block") and got[7] == ("farm.com", "block")
     assert got[2] == ("good.com", "allow") and got[3] == ("plain.com", "allow") and got[6] == ("", "allow")
     assert url_trust.judged(pages.limit(0), RULES).count() == 0
+
+
+@pytest.mark.parametrize("linkers", [1, 2, 40])
+def test_verdicts_do_not_depend_on_the_number_of_linkers(spark, linkers):
+    page = lambda url, *to: (f"http://{url}", "".join(f'<a href="http://{t}/">' for t in to))
+    rows = [page(f"farm{i}.com/p", "bad.net") for i in range(linkers)] + [page(f"half{i}.com/p", "bad.net", "plain.com") for i in range(linkers)]
+    rows += [page(f"far{i}.com/p", f"farm{i}.com") for i in range(linkers)]
+    rows += [page("bad.net/p", "plain.com"), page("plain.com/p", "plain.com"), page("x.org/fr/", "liked.com"), page("liked.com/p", "bad.net")]
+    rows += [page(f"example.net/{i}", "plain.com") for i in range(9)] + [page("example.net", "plain.com")]  # 90 % blocked by rules, one page open
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.url[7:]: r for r in url_trust.judged(pages, RULES).collect()}
+    for i in range(linkers):
+        assert (got[f"farm{i}.com/p"].verdict, got[f"half{i}.com/p"].verdict, got[f"far{i}.com/p"].verdict) == ("block", "allow", "block")
+        assert got[f"farm{i}.com/p"].distrust == pytest.approx(0.85) and got[f"far{i}.com/p"].distrust == pytest.approx(0.85 ** 2)
+    assert (got["example.net"].verdict, got["example.net"].distrust) == ("block", pytest.approx(0.9))
+    assert got["liked.com/p"].verdict == "allow" and got["liked.com/p"].trust == pytest.approx(got["liked.com/p"].distrust) == pytest.approx(0.85)
+    assert got["plain.com/p"].verdict == "allow"

@@ -2,11 +2,14 @@
 
 A rule (host, path) fits its host and all subdomains where the path starts with
 the rule's; the longest that fits decides.  For the other pages the host
-decides.  Its trust is a personalised PageRank along links, from hosts whose
-pages the rules allow; its distrust is one against the links, from hosts whose
-pages the rules block, as a site that links to blocked ones is suspect.  A seed
-weighs as much as the share of its pages that rules allow (or block).  A host
-without links keeps its rank, so ranks stay comparable with such shares.
+decides.  A host's distrust is the share of its pages that rules block, and for
+the share that no rule decides, DAMPING times the average distrust of the hosts
+it links to, as a site that links to blocked ones is suspect.  Its trust is the
+share that rules allow, and for the undecided share DAMPING times the average
+trust of the hosts that link to it.  Averages weigh links, so a figure does not
+depend on how many other hosts link to (or are linked from) the same one, a host
+keeps what rules say of its own pages, and one with more than half of them
+blocked is blocked whatever links say.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 from touchline.runtime import Lookup, checkpointed, written_table
 
 DAMPING = 0.85
-#: Iterations end when all ranks together change by less, or after so many.
+#: Averages end when no host changes by more; ranks when all together change by less, or after so many steps.
 TOLERANCE = 1e-4
 MAX_ITERATIONS = 25
 #: A host is blocked if its distrust is at least this and above its trust.
@@ -93,20 +96,43 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
     return ranks
 
 
+def averaged(edges: DataFrame, own: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, rank) where rank = weight + rest * damping * the average rank of the hosts that src links to.
+
+    ``own`` has (host, weight, rest) of hosts; one that it lacks has weight 0 and
+    rest 1.  A step shrinks all differences by ``damping``, so steps end by
+    themselves.  Hosts of rank 0 are left out.
+    """
+    out_links = edges.groupBy("src").agg(F.sum("links").alias("all"))
+    rest = own.select(F.col("host").alias("src"), "rest")
+    flows = edges.join(out_links, "src").join(rest, "src", "left").select(
+        "src", "dst", (F.coalesce("rest", F.lit(1.0)) * damping * F.col("links") / F.col("all")).alias("share"))
+    flows = written_table(flows.filter("share > 0"), "averages")
+    base = checkpointed(own.filter("weight > 0").select("host", F.col("weight").alias("rank")))
+    ranks = base
+    while True:
+        moved = ranks.join(flows, ranks["host"] == flows["dst"]).select(F.col("src").alias("host"), (F.col("rank") * F.col("share")).alias("rank"))
+        following = checkpointed(moved.unionByName(base).groupBy("host").agg(F.sum("rank").alias("rank")))
+        both = following.unionByName(ranks.select("host", (-F.col("rank")).alias("rank")))
+        change = both.groupBy("host").agg(F.sum("rank").alias("d")).agg(F.max(F.abs("d"))).first()[0] or 0.0
+        ranks = following
+        if change <= tolerance:
+            return ranks
+
+
 def host_trust(pages: DataFrame, rules: list[Rule], url: str = "url", html: str = "html") -> DataFrame:
     """(host, trust, distrust) of every host that is a seed or reached from one."""
     host, path = host_of(F.col(url)), path_of(F.col(url))
     ruled = pages.select(host.alias("host"), rule_for(rules, host, path)["verdict"].alias("verdict"))
     share = [F.coalesce(F.avg(F.when(F.col("verdict") == v, 1.0).otherwise(0.0)), F.lit(0.0)).alias(v) for v in ("allow", "block")]
     seeds = checkpointed(ruled.filter("host <> ''").groupBy("host").agg(*share))
-    trusted = seeds.select("host", F.col("allow").alias("weight")).filter("weight > 0")
-    blocked = seeds.select("host", F.col("block").alias("weight")).filter("weight > 0")
     edges = written_table(host_edges(pages, url, html), "edges")
     if edges.isEmpty():  # all hosts keep their seed
         return seeds.select("host", F.col("allow").alias("trust"), F.col("block").alias("distrust"))
-    trust = propagate(edges, trusted).withColumnRenamed("rank", "trust")
-    against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
-    distrust = propagate(against, blocked).withColumnRenamed("rank", "distrust")
+    rest = F.greatest(1 - F.col("allow") - F.col("block"), F.lit(0.0)).alias("rest")
+    distrust = averaged(edges, seeds.select("host", F.col("block").alias("weight"), rest)).withColumnRenamed("rank", "distrust")
+    backward = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
+    trust = averaged(backward, seeds.select("host", F.col("allow").alias("weight"), rest)).withColumnRenamed("rank", "trust")
     both = trust.join(distrust, "host", "full")
     return both.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
