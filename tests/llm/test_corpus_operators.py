@@ -268,6 +268,57 @@ def test_scores_match_brute_force(spark, chunk, monkeypatch):
         assert sum(p(context, w) for w in counts) + p(context, "unknown") == pytest.approx(1)
 
 
+def brute_orders(rows, learn, order):
+    """log10 of each text: counts of n-grams of the full order or from the begin, else numbers of different tokens before."""
+    texts = {i: ["BEGIN", *[("w", w) for w in SPACE.findall(low(t))], "END"] for i, t in rows}
+    raw = {k: Counter() for k in range(1, order + 1)}
+    for i, words in texts.items():
+        if learn(i):
+            for k in raw:
+                raw[k].update(tuple(words[at: at + k]) for at in range(len(words) - k + 1))
+    counts = {order: raw[order]}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in raw[k + 1])
+        if k > 1:
+            counts[k].update({g: n for g, n in raw[k].items() if g[0] == "BEGIN"})
+
+    def discount(values):
+        n = Counter(values)
+        if not (n[1] and n[2] and n[3]):
+            return [0, 0.5, 1.0, 1.5]
+        y = n[1] / (n[1] + 2 * n[2])
+        return [0, *(min(max(k - (k + 1) * y * n[k + 1] / n[k], 0), k) for k in (1, 2, 3))]
+
+    cut = {k: discount(counts[k].values()) for k in counts}
+    total, passed = Counter(), Counter()
+    for k in counts:
+        for g, n in counts[k].items():
+            total[g[:-1]] += n
+            passed[g[:-1]] += cut[k][min(n, 3)]
+    types = len(counts[1])
+
+    def p(h, w):
+        lower = p(h[1:], w) if h else 1 / (types + 1)
+        n, k = counts[len(h) + 1][(*h, w)], len(h) + 1
+        return max(n - cut[k][min(n, 3)], 0) / total[h] + passed[h] / total[h] * lower if total[h] else lower
+
+    return {i: sum(math.log10(p(tuple(words[max(0, at - order + 1): at]), words[at])) for at in range(1, len(words))) for i, words in texts.items()}
+
+
+@pytest.mark.parametrize("order, chunk", [(2, 2_000_000), (3, 2_000_000), (3, 30), (4, 30)])
+def test_scores_of_any_order_match_brute_force(spark, order, chunk, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "CHUNK_TOKENS", chunk)
+    rng = random.Random(8)
+    words = ["the", "of", "a", *("w%d" % i for i in range(12))]
+    rows = [(i, " ".join(rng.choices(words, [30, 20, 9, *[2] * 12], k=rng.randrange(0, 40)))) for i in range(150)]
+    rows += [(200, None), (201, ""), (202, "never the of a met of the"), (203, "the of " * 1000), (204, "a never")]
+    learn = lambda i: zlib.crc32(str(i).encode()) % 7 != 2 and i not in (202, 204)
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    model = kneser_ney.train(docs.filter("doc_id NOT IN (202, 204)"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, order=order)
+    got = {r.doc_id: r.score for r in kneser_ney.score(docs, model).collect()}
+    assert got == pytest.approx(brute_orders(rows, learn, order), rel=1e-9)
+
+
 def test_language_model_edges(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], DOCS)
     assert kneser_ney.train(docs, F.lit(False)) is None

@@ -1,27 +1,31 @@
-"""Interpolated modified Kneser-Ney bigrams, counted in Spark and scored from memory-mapped arrays.
+"""Interpolated modified Kneser-Ney n-grams of any order, counted in Spark and scored from memory-mapped arrays.
 
-A text is its words (white space ends them, ASCII capitals folded) and one end.
-With v the token before w (a begin for the first one),
+A text is its words (white space ends them, ASCII capitals folded) and one end,
+behind one begin.  With h the k - 1 tokens before w and h' all but the first of
+them, for k from 2 to the order,
 
-    P(w | v) = max(c(v w) - D(c(v w)), 0) / c(v) + g(v) * P1(w)
+    P(w | h) = max(c(h w) - D(c(h w)), 0) / c(h) + g(h) * P(w | h')
     P1(w)    = max(n(w) - d(n(w)), 0) / B + g1 / (V + 1)
 
-where n(w) counts the different tokens before w, B the different bigrams and V
-the different training tokens; g(v) and g1 hand on what the discounts D and d
-took (both by count: 1, 2, 3 or more).  A token that training lacks has n = 0,
-and behind one P is P1.  All probabilities after a known v add up to 1, one
-unknown token included.
+where c(h w) is how often h w occurs if it has the full order or starts with the
+begin, else how many different tokens stand before it; c(h) sums c(h w) over w.
+n(w) counts the different tokens before w, B the different bigrams and V the
+different training tokens; g(h) and g1 hand on what the discounts D (of each k)
+and d took (by count: 1, 2, 3 or more).  A token that training lacks has n = 0,
+and behind an h that training lacks P is P(w | h').  All probabilities after a h
+add up to 1, one unknown token included.
 
-Training is three aggregations, each over hash buckets of what tasks have summed
-already, so that a word or context with any share of all tokens is spread:
+Training is a chain of aggregations, each over hash buckets of what tasks have
+summed already, so that a word or context with any share of all tokens is spread:
 
 1. tokens: each bucket writes its sorted 64-bit word hashes and their counts;
    a token's id is its place in all buckets;
-2. bigrams of ids: each bucket writes its sorted 64-bit bigram hashes (a
-   bijection of the pair of ids) and their counts;
-3. what bigrams say about their tokens: successors with count 1, 2 and more, and
-   predecessors, one array of each for up to 16 buckets of tokens, so that the
-   pieces that pass between buckets stay few.
+2. n-grams of ids, from the full order down to 2: each bucket writes its sorted
+   64-bit hashes (for pairs a bijection) and their counts, below the full order
+   with how many successors have count 1, 2 and more and their sum; and passes
+   what its n-grams say about shorter ones on to the next aggregation;
+3. the same of tokens, and their predecessors, one array of each for up to 16
+   buckets of tokens, so that the pieces that pass between buckets stay few.
 
 The files are in the shared folder.  Workers map them and look up sorted queries,
 so a batch goes through each file once, in order, and reads only the pages that
@@ -49,7 +53,9 @@ CHUNK_TOKENS = 2_000_000
 END = np.uint64(0x5851F42D4C957F2D)
 FIELDS = [("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"), ("score", "double"), ("perplexity", "double")]
 _TOKEN = np.dtype([("h", "<u8"), ("c", "<u4")])
-_FACTS = np.dtype([("id", "<u8"), ("one", "<u4"), ("two", "<u4"), ("more", "<u4"), ("before", "<u4")])
+_FACTS = np.dtype([("id", "<u8"), ("one", "<u4"), ("two", "<u4"), ("more", "<u4"), ("total", "<u8"), ("before", "<u4")])
+#: Of an n-gram as a context.
+_SUCCESSORS = ("one", "two", "more", "total")
 
 
 @dataclass
@@ -61,17 +67,23 @@ class Model:
     first_id: np.ndarray  # of each token bucket, and the number of all tokens at the end
     tokens: int
     texts: int
+    order: int
     bigrams: int
-    high: np.ndarray  # discounts of bigrams for counts 0 to 3
+    high: dict  # by length of n-grams from 2, their discounts for counts 0 to 3
     low: np.ndarray  # discounts of predecessor counts
     rest: float  # g1
-    begin_facts: np.ndarray  # successors of the begin with count 1, 2, more
+    begin_facts: np.ndarray  # successors of the begin with count 1, 2, more, and their sum
     open_files: dict = field(default_factory=dict, repr=False)
 
     @property
     def types(self) -> int:
         return int(self.first_id[-1])
 
+    @property
+    def width(self) -> int:
+        """Bytes that hold any id and count."""
+        return 4 if max(self.tokens, self.types + 1) < 1 << 32 else 8
+
     @property
     def shift(self) -> int:
         """So many bits more tell the buckets of tokens apart than those of facts."""
@@ -150,7 +162,7 @@ def _lookup(model: Model, kind: str, hashes: np.ndarray) -> Iterator[tuple[int,
     for at, part in zip(np.concatenate([[0], cuts]), np.split(hashes, cuts)):
         if len(part):
             bucket = int(buckets[at])
-            known = _hashes_of(model, kind, bucket)
+            known = _gram_hashes_of(model, int(kind[5:]), bucket) if kind.startswith("grams") else _hashes_of(model, kind, bucket)
             if len(known):
                 place = np.minimum(np.searchsorted(known, part), len(known) - 1)
                 hit = np.flatnonzero(known[place] == part)
@@ -180,6 +192,19 @@ def _pair_hashes(model: Model, before: np.ndarray, after: np.ndarray) -> np.ndar
     return mix64(before.astype(np.uint64) * np.uint64(model.types + 1) + after.astype(np.uint64))
 
 
+def _longer_hashes(hashes: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Of n-grams of three and more, from those of all but the last token."""
+    return mix64(hashes * np.uint64(0x9E3779B97F4A7C15) + after.astype(np.uint64))
+
+
+def _gram_hashes(model: Model, ids: np.ndarray) -> np.ndarray:
+    """Of n-grams of at least two, one row of ids for each place."""
+    out = _pair_hashes(model, ids[0], ids[1])
+    for after in ids[2:]:
+        out = _longer_hashes(out, after)
+    return out
+
+
 def _unmixed(hashes: np.ndarray) -> np.ndarray:
     """The inverse of mix64."""
     x = hashes ^ (hashes >> np.uint64(31)) ^ (hashes >> np.uint64(62))
@@ -217,6 +242,100 @@ def _blob_batch(keys: np.ndarray, items: np.ndarray, kind: int) -> Iterator[pa.R
 _BLOBS = "bucket long, kind int, items binary"
 
 
+def _planes(columns: list[np.ndarray], width: int) -> bytes:
+    """Numbers in the order of the first columns, byte by byte and compressed: sorted and high bytes shrink to little."""
+    table = np.stack(columns).astype(f"<u{width}")
+    table = np.ascontiguousarray(table[:, np.lexsort(table[1::-1])])
+    raw = table.view(np.uint8).reshape(*table.shape, width).transpose(0, 2, 1).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _from_planes(blob: pa.Buffer, columns: int, width: int) -> np.ndarray:
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8].to_pybytes(), "little"), "zstd")
+    table = np.frombuffer(raw, np.uint8).reshape(columns, width, -1).transpose(0, 2, 1)
+    return np.ascontiguousarray(table).view(f"<u{width}")[..., 0].astype(np.int64)
+
+
+def _gram_blobs(model: Model, kind: int, hashes: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, kind, items) of n-grams in the order of their hashes."""
+    buckets = (hashes >> np.uint64(64 - model.bits)).astype(np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(hashes)]
+    for start, end in zip(cuts, cuts[1:]):
+        if start < end:
+            yield int(buckets[start]), kind, _planes([c[start:end] for c in columns], model.width)
+
+
+def _back(ids: np.ndarray, offsets: np.ndarray, steps: int, begin: int) -> np.ndarray:
+    """The ids so many places before; what is before a row's begin has no meaning."""
+    for _ in range(steps):
+        ids = _previous(ids, offsets, begin)
+    return ids
+
+
+def _text_grams(model: Model, ids: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """Counts of all n-grams of the full order, and of shorter ones that start with the begin."""
+    place = np.arange(len(ids)) - np.repeat(offsets[:-1], np.diff(offsets))
+    columns = [_back(ids, offsets, k, model.types) for k in range(model.order)][::-1]
+    for size in range(2, model.order + 1):
+        at = np.flatnonzero(place >= size - 2 if size == model.order else place == size - 2)
+        grams = np.stack([c[at] for c in columns[-size:]])
+        hashes, first, counts = np.unique(_gram_hashes(model, grams), return_index=True, return_counts=True)
+        yield from _gram_blobs(model, size, hashes, [*grams[:, first], counts])
+
+
+def _columns_of(table: pa.Table, kind: int, columns: int, width: int) -> np.ndarray:
+    rows = zip(table["kind"].to_pylist(), (b for chunk in table["items"].chunks for b in chunk))
+    return np.concatenate([np.zeros((columns, 0), np.int64), *[_from_planes(b.as_buffer(), columns, width) for k, b in rows if k == kind]], axis=1)
+
+
+def _grouped(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct hashes, a place of each, and the group of all places."""
+    return np.unique(hashes, return_index=True, return_inverse=True)
+
+
+def _sums(group: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(size, np.int64)
+    np.add.at(out, group, values)
+    return out
+
+
+def _successor_facts(group: np.ndarray, counts: np.ndarray, size: int) -> list[np.ndarray]:
+    return [np.bincount(group[mine], minlength=size) for mine in (counts == 1, counts == 2, counts > 2)] + [_sums(group, counts, size)]
+
+
+def _write_grams(model: Model, size: int, bucket: int, hashes: np.ndarray, columns: list[np.ndarray]) -> None:
+    """Hashes, then each column as one byte a number; those from 255 on follow as (place, number)."""
+    large = [np.flatnonzero(c >= 255) for c in columns]
+    head = np.array([len(hashes), *[len(x) for x in large]], "<u8")
+    rest = [np.stack([x, c[x]]).T.astype("<u8") for x, c in zip(large, columns)]
+    write_arrays(f"{model.folder}/grams{size}-{bucket}", [head, hashes.astype("<u8"), *[np.minimum(c, 255).astype(np.uint8) for c in columns], *rest])
+
+
+def _gram_hashes_of(model: Model, size: int, bucket: int) -> np.ndarray:
+    raw, columns = _open(model, f"grams{size}", bucket), _gram_columns(model, size)
+    n = int(raw[:8].view("<u8")[0]) if len(raw) else 0
+    return raw[8 * (columns + 1): 8 * (columns + 1 + n)].view("<u8")
+
+
+def _gram_columns(model: Model, size: int) -> int:
+    return 1 if size == model.order else 1 + len(_SUCCESSORS)
+
+
+def _gram_values(model: Model, size: int, bucket: int, places: np.ndarray) -> np.ndarray:
+    """One row for each column."""
+    raw, columns = _open(model, f"grams{size}", bucket), _gram_columns(model, size)
+    head = raw[: 8 * (columns + 1)].view("<u8").astype(np.int64)
+    n, start = int(head[0]), 8 * (columns + 1 + int(head[0]))
+    out = np.stack([raw[start + k * n: start + (k + 1) * n][places] for k in range(columns)]).astype(np.int64)
+    start += columns * n
+    for row, m in zip(out, head[1:].tolist()):
+        large = raw[start: start + 16 * m].view("<u8").reshape(-1, 2)
+        start += 16 * m
+        at = np.flatnonzero(row == 255)
+        row[at] = large[np.searchsorted(large[:, 0], places[at].astype(np.uint64)), 1]
+    return out
+
+
 def _counted(hashes: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
     """Blobs of distinct hashes: kind 0 those that occur once, kind 1 the other ones with their counts."""
     keys, counts = np.unique(hashes, return_counts=True)
@@ -242,15 +361,17 @@ def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return _summed(np.concatenate(keys), np.concatenate(counts))
 
 
-def train(docs: DataFrame, learn: Column, text: str = "text") -> Model | None:
-    """A model of the texts of the rows where ``learn`` holds (null texts count as empty); None if there are none."""
+def train(docs: DataFrame, learn: Column, text: str = "text", order: int = 2) -> Model | None:
+    """A model of this order (2 or more) of the texts of the rows where ``learn`` holds (null texts count as empty); None if there are none."""
+    if order < 2:
+        raise ValueError("order must be 2 or more")
     spark = docs.sparkSession
     rows = docs.filter(learn).select(F.col(text).alias("text"))
     texts = rows.count()
     if texts == 0:
         return None
     bits = max(4, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    folder = scratch_path(spark, "bigrams")
+    folder = scratch_path(spark, "ngrams")
 
     def emit_tokens(batches):
         for batch in batches:
@@ -267,73 +388,111 @@ def train(docs: DataFrame, learn: Column, text: str = "text") -> Model | None:
     types = np.zeros((1 << bits) + 1, np.int64)  # one number a bucket
     for row in found:
         types[row["bucket"] + 1] = row["types"]
-    model = Model(folder, bits, np.cumsum(types), sum(r["n"] for r in found), texts, 0, np.zeros(4), np.zeros(4), 0.0, np.zeros(3))
+    model = Model(folder, bits, np.cumsum(types), sum(r["n"] for r in found), texts, order, 0, {}, np.zeros(4), 0.0, np.zeros(4))
 
     shared = spark.sparkContext.broadcast(model)
 
-    def emit_bigrams(batches):
+    def emit_grams(batches):
         model = shared.value
         for batch in batches:
             for _, tokens, offsets in _chunks(batch.column("text")):
                 words, which = np.unique(tokens, return_inverse=True)
-                ids = _ids(model, words)[0][which]
-                yield from _counted(_pair_hashes(model, _previous(ids, offsets, model.types), ids), bits)
-
-    def write_bigrams(table: pa.Table) -> pa.Table:
-        model = shared.value
-        bucket = table["bucket"][0].as_py()
-        hashes, counts = _gathered(table)
-        write_arrays(f"{folder}/bigrams-{bucket}", [hashes.astype("<u8"), counts.astype("<u4")])
-        pair = _unmixed(hashes)
-        before, after = pair // np.uint64(model.types + 1), pair % np.uint64(model.types + 1)
-        return _facts(model, before, after, counts)
-
-    facts = rows.mapInArrow(emit_bigrams, _BLOBS).groupBy("bucket").applyInArrow(write_bigrams, "bucket long, items binary, types array<long>")
+                yield _rows(_text_grams(model, _ids(model, words)[0][which], offsets))
+
+    def write_grams(size: int):
+        def write(table: pa.Table) -> pa.Table:
+            model = shared.value
+            bucket = table["bucket"][0].as_py()
+            found = _columns_of(table, size, size + 1, model.width)
+            hashes, first, group = _grouped(_gram_hashes(model, found[:-1]))
+            counts, ids = _sums(group, found[-1], len(hashes)), found[:-1, first]
+            columns = [counts]
+            if size < model.order:
+                about = _columns_of(table, -size, size + len(_SUCCESSORS), model.width)
+                mine = np.searchsorted(hashes, _gram_hashes(model, about[:size]))
+                columns += [_sums(mine, values, len(hashes)) for values in about[size:]]
+            if len(hashes):
+                _write_grams(model, size, bucket, hashes, columns)
+            by_count = np.bincount(np.minimum(counts, 5), minlength=6)[1:6]
+            if size == 2:
+                out = _facts(model, ids[0], ids[1], counts)
+            else:
+                out = list(_passed_on(model, ids, counts))
+                out += [(bucket, kind, b.as_py()) for kind, b in zip(table["kind"].to_pylist(), table["items"]) if 0 < kind < size]
+            held = [(bucket, 0, b.as_py()) for kind, b in zip(table["kind"].to_pylist(), table["items"]) if kind == 0]
+            numbers = [(bucket, 0, np.array([size, *by_count], "<i8").tobytes()), *held]
+            if size == 2:
+                numbers = [(b >> model.shift, kind, items) for b, kind, items in numbers]
+            return pa.Table.from_batches([_rows([*out, *numbers])])
+
+        return write
+
+    steps = rows.mapInArrow(emit_grams, _BLOBS)
+    for size in range(order, 1, -1):
+        steps = steps.groupBy("bucket").applyInArrow(write_grams(size), _BLOBS)
 
     def write_facts(table: pa.Table) -> pa.Table:
         model = shared.value
         bucket = table["bucket"][0].as_py()
-        items = np.concatenate([np.zeros(0, _FACTS)] + [np.frombuffer(b.as_buffer(), _FACTS) for chunk in table["items"].chunks for b in chunk if b.is_valid])
+        blobs = list(zip(table["kind"].to_pylist(), (b for chunk in table["items"].chunks for b in chunk)))
+        items = np.concatenate([np.zeros(0, _FACTS)] + [np.frombuffer(b.as_buffer(), _FACTS) for kind, b in blobs if kind == 1])
+        by_count = np.zeros((model.order + 1, 5), np.int64)
+        for _, b in (x for x in blobs if x[0] == 0):
+            size, *n = np.frombuffer(b.as_buffer(), "<i8").tolist()
+            by_count[size] += n
         base, end = model.id_range(bucket)
-        sums = [np.bincount((items["id"] - np.uint64(base)).astype(np.int64), items[name], end - base).astype("<u4") for name in ("one", "two", "more", "before")]
-        by_count = np.sum([t for t in table["types"].to_pylist() if t is not None] or [[0] * 5], axis=0)
-        own, begin = np.zeros(5, np.int64), [0, 0, 0]
-        if base == model.types:
-            begin = [int(s[0]) for s in sums[:3]]
+        at = (items["id"] - np.uint64(base)).astype(np.int64)
+        sums = {name: _sums(at, items[name].astype(np.int64), end - base) for name in (*_SUCCESSORS, "before")}
+        own, begin = np.zeros(5, np.int64), [0] * len(_SUCCESSORS)
+        if end > model.types:
+            begin = [int(sums[name][0]) for name in _SUCCESSORS]
         else:
-            write_arrays(f"{folder}/facts-{bucket}", sums)
-            own = np.bincount(np.minimum(sums[3], 5), minlength=6)[1:6]
-        return pa.table({"types": pa.array([by_count.tolist()], pa.list_(pa.int64())), "own": pa.array([own.tolist()], pa.list_(pa.int64())), "begin": pa.array([begin], pa.list_(pa.int64()))})
+            write_arrays(f"{folder}/facts-{bucket}", [x.astype("<u8" if model.width == 8 else "<u4") for x in sums.values()])
+            own = np.bincount(np.minimum(sums["before"], 5), minlength=6)[1:6]
+        return pa.table({"types": pa.array([by_count.ravel().tolist()], pa.list_(pa.int64())), "own": pa.array([own.tolist()], pa.list_(pa.int64())), "begin": pa.array([begin], pa.list_(pa.int64()))})
 
-    done = facts.groupBy("bucket").applyInArrow(write_facts, "types array<long>, own array<long>, begin array<long>").collect()
+    done = steps.groupBy("bucket").applyInArrow(write_facts, "types array<long>, own array<long>, begin array<long>").collect()
     types_by_count, own, begin = (np.sum([r[name] for r in done], axis=0) for name in ("types", "own", "begin"))
-    model.bigrams = int(types_by_count.sum())
-    model.high, model.low = discounts(types_by_count), discounts(own)
+    types_by_count = types_by_count.reshape(order + 1, 5)
+    model.bigrams = int(types_by_count[2].sum())
+    model.high, model.low = {size: discounts(types_by_count[size]) for size in range(2, order + 1)}, discounts(own)
     model.rest = float((model.low[1] * own[0] + model.low[2] * own[1] + model.low[3] * own[2:].sum()) / model.bigrams)
     model.begin_facts = np.asarray(begin, np.float64)
     return model
 
 
-def _facts(model: Model, before: np.ndarray, after: np.ndarray, counts: np.ndarray) -> pa.Table:
-    """What the bigrams of a bucket say about tokens, by bucket of token; and how many have count 1, 2, 3, 4, more."""
+def _rows(rows) -> pa.RecordBatch:
+    rows = list(rows)
+    columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.binary()))]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "kind", "items"])
+
+
+def _passed_on(model: Model, ids: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """What a bucket's n-grams, at least three long, say: successors of all but the last token, predecessors of all but the first."""
+    size = len(ids)
+    hashes, first, group = _grouped(_gram_hashes(model, ids[:-1]))
+    yield from _gram_blobs(model, 1 - size, hashes, [*ids[:-1, first], *_successor_facts(group, counts, len(hashes))])
+    hashes, first, group = _grouped(_gram_hashes(model, ids[1:]))
+    yield from _gram_blobs(model, size - 1, hashes, [*ids[1:, first], np.bincount(group, minlength=len(hashes))])
+
+
+def _facts(model: Model, before: np.ndarray, after: np.ndarray, counts: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """What the bigrams of a bucket say about tokens, by bucket of token."""
     ids, which = np.unique(np.concatenate([before, after]), return_inverse=True)
     left, right = which[: len(before)], which[len(before):]
     out = np.zeros(len(ids), _FACTS)
     out["id"] = ids
-    for name, mine in (("one", counts == 1), ("two", counts == 2), ("more", counts > 2)):
-        out[name] = np.bincount(left[mine], minlength=len(ids))
+    for name, values in zip(_SUCCESSORS, _successor_facts(left, counts, len(ids))):
+        out[name] = values
     out["before"] = np.bincount(right, minlength=len(ids))
-    rows = list(blob_rows(model.bucket_of(ids), out))
-    by_count = np.bincount(np.minimum(counts, 5), minlength=6)[1:6].tolist()
-    return pa.table({"bucket": pa.array([k for k, _ in rows], pa.int64()), "items": pa.array([b for _, b in rows], pa.binary()),
-                     "types": pa.array([by_count] + [None] * (len(rows) - 1), pa.list_(pa.int64()))})
+    return [(k, 1, b) for k, b in blob_rows(model.bucket_of(ids), out)]
 
 
 # Scoring.
 
 def _token_facts(model: Model, ids: np.ndarray) -> np.ndarray:
-    """[one, two, more, before] of sorted distinct known ids."""
-    out = np.zeros((4, len(ids)))
+    """[one, two, more, total, before] of sorted distinct known ids."""
+    out = np.zeros((5, len(ids)))
     bucket = model.bucket_of(ids)
     cuts = np.flatnonzero(np.diff(bucket)) + 1
     for at, part in zip(np.concatenate([[0], cuts]), np.split(ids, cuts)):
@@ -341,7 +500,7 @@ def _token_facts(model: Model, ids: np.ndarray) -> np.ndarray:
             b = int(bucket[at])
             raw = _open(model, "facts", b)
             if len(raw):
-                table = raw.view("<u4").reshape(4, -1)
+                table = raw.view("<u8" if model.width == 8 else "<u4").reshape(5, -1)
                 out[:, at: at + len(part)] = table[:, part - model.id_range(b)[0]]
     return out
 
@@ -352,33 +511,35 @@ def log_scores(model: Model, tokens: np.ndarray, offsets: np.ndarray):
     ids, counts = _ids(model, words)
     known = np.flatnonzero(ids >= 0)
     order = known[np.argsort(ids[known])]
-    facts = np.zeros((4, len(words)))
+    facts = np.zeros((5, len(words)))
     facts[:, order] = _token_facts(model, ids[order])
-    single = np.maximum(facts[3] - model.low[np.minimum(facts[3], 3).astype(int)], 0) / model.bigrams + model.rest / (model.types + 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        hand_on = np.where(counts > 0, (model.high[1] * facts[0] + model.high[2] * facts[1] + model.high[3] * facts[2]) / counts, 1.0)
-    has_next = counts > 0
-    has_next[words == END] = False  # nothing follows an end
-    hand_on[~has_next] = 1.0
+    single = np.maximum(facts[4] - model.low[np.minimum(facts[4], 3).astype(int)], 0) / model.bigrams + model.rest / (model.types + 1)
     base = np.log10((counts + 1) / (model.tokens + model.types + 1))
 
     row = byteblocks.row_of(offsets)
     at = ids[which]
-    begin = offsets[:-1]
-    total, passed = np.empty(len(tokens)), np.empty(len(tokens))
-    total[1:], passed[1:] = np.where(has_next, counts, 1)[which[:-1]], hand_on[which[:-1]]
-    total[begin] = model.texts
-    passed[begin] = model.high[1:] @ model.begin_facts / model.texts
-    before = _previous(at, offsets, model.types)
-    both = np.flatnonzero((at >= 0) & (before >= 0))
-    pairs, pair_of = np.unique(_pair_hashes(model, before[both], at[both]), return_inverse=True)
-    seen = np.zeros(len(pairs))
-    for bucket, place, there in _lookup(model, "bigrams", pairs):
-        seen[place] = _counts_of(model, "bigrams", bucket)[there]
-    direct = np.zeros(len(tokens))
-    c = seen[pair_of]
-    direct[both] = np.maximum(c - model.high[np.minimum(c, 3).astype(int)], 0) / total[both]
-    logs = np.log10(direct + passed * single[which])
+    p = single[which]
+    place = np.arange(len(at)) - offsets[:-1][row]
+    hashes, known = _pair_hashes(model, _previous(at, offsets, model.types), at), (at >= 0) & (_previous(at, offsets, model.types) >= 0)
+    context = np.zeros((len(_SUCCESSORS), len(at)))  # of all tokens before that count
+    context[:, 1:] = facts[:4, which[:-1]]
+    context[:, offsets[:-1]] = model.begin_facts[:, None]
+    for size in range(2, model.order + 1):
+        if size > 2:  # from the place before
+            known = (place >= size - 2) & (at >= 0) & np.concatenate([[False], known[:-1]])
+            context = np.where(place >= size - 2, np.concatenate([context[:, :1], own[:, :-1]], axis=1), 0)
+            hashes = _longer_hashes(np.concatenate([hashes[:1], hashes[:-1]]), at)
+        found = np.zeros((_gram_columns(model, size), len(at)))
+        both = np.flatnonzero(known)
+        keys, key_of = np.unique(hashes[both], return_inverse=True)
+        seen = np.zeros((len(found), len(keys)))
+        for bucket, here, there in _lookup(model, f"grams{size}", keys):
+            seen[:, here] = _gram_values(model, size, bucket, there)
+        found[:, both] = seen[:, key_of]
+        c, own = found[0], found[1:]
+        high, total = model.high[size], np.maximum(context[3], 1)
+        p = np.where(context[3] > 0, np.maximum(c - high[np.minimum(c, 3).astype(int)], 0) / total + high[1:] @ context[:3] / total * p, p)
+    logs = np.log10(p)
     rows = len(offsets) - 1
     return (np.diff(offsets), np.bincount(row, counts[which] > 0, rows).astype(np.int64),
             np.bincount(row, base[which], rows), np.bincount(row, logs, rows))

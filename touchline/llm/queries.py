@@ -77,7 +77,7 @@ def op4_url_trust(spark, sf_dir):
 def op5_kneser_ney(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     remainder = fold("doc_id", 7)
-    model = kneser_ney.train(docs, remainder != 2)
+    model = kneser_ney.train(docs, remainder != 2, order=3)
     held_out = docs.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "text")
     scored = kneser_ney.score(held_out, model, keep_text=False)
     train_tokens = F.lit(model.tokens if model else 0).cast("long")
