@@ -76,6 +76,15 @@ def test_vectors_match_brute_force(spark, blocks):
     assert len(got) == len(rows)
 
 
+def test_vectors_of_every_length_link(spark):
+    rng = np.random.default_rng(3)
+    rows = dict(enumerate(v.tolist() for width in (12, 5, 1, 20) for v in rng.normal(size=(20 + width, width))))
+    rows |= {i + 1000: [x * 2 for x in v] for i, v in rows.items() if i % 3 == 0}
+    rows[2000] = [1.0, 2.0]
+    got = vector_dedup.near_duplicates(spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == brute_vectors(rows)
+
+
 def test_vectors_without_any_usable(spark):
     table = spark.createDataFrame([(1, None), (2, [0.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in vector_dedup.near_duplicates(table).orderBy("vec_id").collect()] == [(1, 0, 1, True), (2, 0, 2, True)]

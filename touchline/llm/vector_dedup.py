@@ -19,6 +19,7 @@ edge per linked vector, never the pairs.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -227,18 +228,21 @@ def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedd
     """key, n_links, component_id and kept, one row for each id.
 
     Rows of one id count as one vector, the largest as arrays compare; a row
-    without an id is left out.  Vectors of another length than most (the
-    shortest length among equally frequent ones) link with nothing.
+    without an id is left out.  Vectors of different lengths do not link; each
+    length that occurs more than once has its own index.
     """
     base = table.filter(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("id")).agg(F.max(vector).alias("vector"))
     base = written_table(base, "vectors")
     good = base.filter(usable(F.col("vector")))
-    widths = good.groupBy(F.size("vector").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    if widths is None:
+    widths = good.groupBy(F.size("vector").alias("w")).count().filter("count > 1").orderBy("w").collect()
+    if not widths:
         return base.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    good = good.filter(F.size("vector") == widths["w"])
-    index = fit(good, widths["count"], threshold, max_sample)
-    found = written_table(linked_counts(good, index, threshold, block_members, block_visitors), "links")
+    links = []
+    for width in widths:
+        same = good.filter(F.size("vector") == width["w"])
+        index = fit(same, width["count"], threshold, max_sample)
+        links.append(written_table(linked_counts(same, index, threshold, block_members, block_visitors), "links"))
+    found = reduce(DataFrame.unionByName, links)
     counts = found.groupBy("id").agg(F.sum("n").alias("n_links"))
     parts = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "id")
     rows = base.select("id").join(counts, "id", "left").join(parts, "id", "left")
