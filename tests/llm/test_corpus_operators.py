@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,6 +145,25 @@ def test_classes_with_repeated_and_missing_keys(spark):
     assert jaccard_join.classes(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_a_repeated_key_keeps_near_texts():
+    right, wrong = pa.scalar("a b c d e f g"), pa.scalar("q r s t u v w")
+    shingles = next(jaccard_join.shingle_sets(pa.array([right.as_py()]), 5))
+    sets = jaccard_join._Sets(5)
+    assert sets.get(jaccard_join.signature(shingles), wrong) is None
+    assert sets.get(jaccard_join.signature(shingles), right).tolist() == shingles.tolist()
+
+
+def test_classes_with_near_texts_under_repeated_keys(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(0, 80, 2):  # each key has two texts; each text has near copies under other keys
+        for text in ([f"{side}{i}w{k}" for k in range(40)] for side in "xy"):
+            rows += [(i, " ".join(text)), (i + 1000 + (text[0][0] == "y"), " ".join([*text[:-1], "end"])), (i + 2000 + (text[0][0] == "y"), " ".join(["start", *text[1:]]))]
+    rng.shuffle(rows)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.classes(spark.createDataFrame(rows, DOCS).repartition(2)).collect())
+    assert got == brute_classes(rows)
+
+
 def test_common_shingles(monkeypatch):
     monkeypatch.setattr(jaccard_join, "INCIDENCE_WIDTH", 5)
     rng = np.random.default_rng(2)

@@ -373,9 +373,11 @@ class _Sets:
         """None if the text is not of that set: its document has several texts."""
         if name not in self.held:
             shingles = next(shingle_sets(pa.array([text.as_py()], pa.string()), self.words))
+            if not len(shingles) or signature(shingles) != name:
+                return None  # not held: the right text may follow
             if self.size + len(shingles) > FLUSH_ENTRIES:
                 self.held, self.size = {}, 0
-            self.held[name] = shingles if len(shingles) and signature(shingles) == name else None
+            self.held[name] = shingles
             self.size += len(shingles)
         return self.held[name]
 
