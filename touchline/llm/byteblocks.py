@@ -76,8 +76,8 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
         row = end
 
 
-def words(block: Block, separators: np.ndarray) -> Words:
-    """All words of a block with their hashes and byte positions."""
+def words(block: Block, separators: np.ndarray, folded: bool = True) -> Words:
+    """All words of a block with their hashes and byte positions; ASCII capitals are small letters if ``folded``."""
     data, offsets = block.data, block.offsets
     n = len(data)
     if n == 0:
@@ -92,7 +92,7 @@ def words(block: Block, separators: np.ndarray) -> Words:
     last = offsets[1:][offsets[1:] > 0] - 1
     ends[last] = inside[last]
     first, stop = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    return Words(span_hashes(data, first, stop, folded=True), first, stop, np.searchsorted(first, offsets))
+    return Words(span_hashes(data, first, stop, folded), first, stop, np.searchsorted(first, offsets))
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, folded: bool) -> np.ndarray:

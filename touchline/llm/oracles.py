@@ -52,8 +52,22 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, doc_id) AS comp
 FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN root ON root.a = doc_id
 """
 
+_BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+LINE_DEDUP = f"""
+WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM t),
+k AS (SELECT *, {_FOLD.format(f"trim(line, {_BLANKS})")} AS k FROM l),
+f AS (SELECT k, min(doc_id) AS first FROM k WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) > 1),
+m AS (SELECT k.*, coalesce(doc_id > first, false) AS dropped FROM k LEFT JOIN f USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
 BY_QUERY = {
     "op1_vector_dedup": VECTOR_DEDUP,
     "op6_benchmark_passages": BENCHMARK_PASSAGES,
     "op9_jaccard_classes": JACCARD_CLASSES,
+    "op13_line_dedup": LINE_DEDUP,
 }

@@ -7,7 +7,10 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from touchline.llm import decontaminate, jaccard_join, kneser_ney, language_id, piece_codec, quality_vote, sharding, token_counts, url_trust, vector_dedup
+from touchline.llm import (
+    decontaminate, jaccard_join, kneser_ney, language_id, line_dedup, periodic_runs, piece_codec, quality_vote, sharding, token_counts, url_trust,
+    vector_dedup, whitening,
+)
 from touchline.llm.oracles import BY_QUERY
 from touchline.llm.shared import fold, ship_package, table
 from touchline.plans.registry import Registry
@@ -107,4 +110,39 @@ def op8_minimax_shards(spark, sf_dir):
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@_registered
+def op11_embedding_whitening(spark, sf_dir):
+    return whitening.by_component(whitening.whitened(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
+
+
+def with_planted_periods(docs):
+    """Every tenth document by crc32 of its id, from some word on, repeats a number of words given by the same crc32."""
+    digest = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    rows = docs.withColumn("g", F.floor(digest / 10)).withColumn("words", F.when(digest % 10 == 0, words))
+    n = F.size("words")
+    rows = rows.withColumn("a", F.when(n > 0, F.col("g") % n).cast("int"))
+    rows = rows.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    place = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")))
+    planted = F.array_join(F.transform(place, lambda i: F.get("words", i)), " ")
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+@_registered
+def op12_periodic_runs(spark, sf_dir):
+    docs = with_planted_periods(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs.with_runs(docs).withColumn("best", periodic_runs.longest(F.col("runs")))
+    length, period = F.col("best.length"), F.col("best.period")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(periodic_runs.listed(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@_registered
+def op13_line_dedup(spark, sf_dir):
+    kept = line_dedup.without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES, ORACLES = REGISTRY.queries, REGISTRY.oracles
