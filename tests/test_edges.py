@@ -2,9 +2,14 @@
 
 import json
 import math
+import os
+import subprocess
+import sys
 from datetime import date
+from pathlib import Path
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from touchline.functions.labels import team_display
@@ -249,6 +254,104 @@ def test_csv_scan_skips_bad_files_and_keeps_names(spark, tmp_path):
     assert {r["path"].rsplit("/", 1)[1] for r in scan.rejected.collect()} == {"empty.csv", "other.csv"}
 
 
+def _names(scan):
+    return {(r["path"].rsplit("/", 1)[1], r["record"], r["error"]) for r in scan.rejected.collect()}
+
+
+def test_csv_scan_of_many_files_and_headers(spark, tmp_path):
+    headers = [list(MATCH_COLUMNS), list(reversed(MATCH_COLUMNS)), [c for c in MATCH_COLUMNS if c != "HF"], ["Div", *MATCH_COLUMNS, "Referee"], ["HomeTeam", "HomeTeam", "Date"]]
+    want = set()
+    for i in range(300):
+        names, folder = headers[i % 5], tmp_path / f"season={i % 7}"
+        folder.mkdir(exist_ok=True)
+        rows = [[f"{name}-{i}-{line}" if name != "Referee" else '"Smith, J"' for name in names] for line in range(3)]
+        (folder / f"file {i}.csv").write_text("\n".join(",".join(r) for r in [names, *rows]) + "\n")
+        want |= {tuple(r[names.index(c)] if c in names else None for c in MATCH_COLUMNS) for r in rows}
+    scan = csv_files.scan_season_files(spark, str(tmp_path))
+    got = [tuple(r) for r in scan.matches.collect()]
+    assert len(got) == 900 and set(got) == want and _names(scan) == set()
+    assert scan.matches.columns == list(MATCH_COLUMNS) and scan.files.count() == 300
+
+
+def test_csv_scan_names_all_that_it_leaves_out(spark, tmp_path):
+    (tmp_path / "good.csv").write_text("HomeTeam,AwayTeam,HS\n\nA,B,1\nC,D\n\"E, F\",G,2\n")
+    (tmp_path / "long.csv").write_text("HomeTeam,AwayTeam\nH,I\nJ,K,L\n")
+    (tmp_path / "quote.csv").write_text('HomeTeam,AwayTeam\nM,"N\nO,P\n')
+    (tmp_path / "latin.csv").write_bytes("HomeTeam,AwayTeam\nMálaga,Q\n".encode("latin-1"))
+    (tmp_path / "blank.csv").write_text("\n\n")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "other.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "_hidden.csv").write_text("HomeTeam\nZ\n")
+    files = {
+        ("latin.csv", None, "the text is not UTF-8"), ("blank.csv", None, "no header: all lines are blank"),
+        ("empty.csv", None, "no header: the file is empty"), ("other.csv", None, "no known column in the header")}
+    good = {("A", "B", "1"), ("C", "D", None), ("E, F", "G", "2")}
+
+    def teams(scan):
+        return {(r["HomeTeam"], r["AwayTeam"], r["HS"]) for r in scan.matches.collect()}
+
+    scan = csv_files.scan_season_files(spark, str(tmp_path))
+    assert teams(scan) == good
+    assert _names(scan) == files | {("long.csv", None, "a line has 3 fields, the header 2"), ("quote.csv", None, "a quote is not closed in its line")}
+    scan = csv_files.scan_season_files(spark, str(tmp_path), long_rows="row", short_rows="reject")
+    assert teams(scan) == good - {("C", "D", None)} | {("H", "I", None), ("O", "P", None)}
+    assert _names(scan) == files | {
+        ("long.csv", "J,K,L", "3 fields instead of 2"), ("quote.csv", 'M,"N', "a quote is not closed"), ("good.csv", "C,D", "2 fields instead of 3")}
+
+
+def test_csv_scan_names_a_file_that_breaks_in_mid_read(spark, tmp_path):
+    lines = spark.range(40000).select(F.format_string("team %d,other,%d", "id", "id").alias("value"))
+    for name in ("broken", "whole"):
+        spark.createDataFrame([("HomeTeam,AwayTeam,HS",)], "value string").union(lines).coalesce(1).write.text(str(tmp_path / name))
+    file = next((tmp_path / "broken").glob("part-*.txt"))
+    data = bytearray(file.read_bytes())
+    data[400_000:400_010] = b"~" * 10  # its checksums, written beside it, no longer fit
+    file.write_bytes(bytes(data))
+    scan = csv_files.scan_season_files(spark, str(tmp_path), suffix=".txt")
+    assert scan.matches.count() == 40000
+    (row,) = scan.rejected.collect()
+    assert "broken" in row["path"] and row["error"].startswith("reading broke off after") and row["error"].endswith(f"of {len(data)} bytes")
+
+
+def test_csv_scan_without_any_file(spark, tmp_path):
+    (tmp_path / "notes.md").write_text("x")
+    scan = csv_files.scan_season_files(spark, str(tmp_path))
+    assert scan.matches.count() == 0 and scan.matches.columns == list(MATCH_COLUMNS) and scan.rejected.count() == 0
+
+
+def test_first_path_else_fallback(spark, tmp_path):
+    there = tables.write_table(spark.range(3), str(tmp_path / "there"))
+    missing = str(tmp_path / "missing")
+    assert tables.read_table(spark, missing, there).count() == 3 and tables.read_table(spark, there, missing).count() == 3
+    with pytest.raises(AnalysisException):
+        tables.read_table(spark, missing)
+
+
+BARE_SESSION = """
+from touchline.session import local_session
+from touchline.runtime import Lookup, scratch_path, shared_folder, written_table
+spark = local_session("bare", 2, "1g")
+assert spark.conf.get("spark.checkpoint.dir", None) is None
+print(written_table(spark.range(5), "x").count(), Lookup(spark.range(7)).table.count(), shared_folder(spark) == shared_folder(spark))
+"""
+
+
+def test_a_session_without_checkpoint_folder(tmp_path):
+    root = Path(__file__).resolve().parent.parent
+    env = {k: v for k, v in os.environ.items() if not k.startswith("SPARK_")} | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": str(root)}
+    done = subprocess.run([sys.executable, "-c", BARE_SESSION], env=env, capture_output=True, text=True, timeout=180)
+    assert done.stdout.split() == ["5", "7", "True"], done.stderr[-2000:]
+
+
+def test_queries_without_the_libraries_of_the_optional_ones(monkeypatch):
+    import __spark_entry__
+
+    for name in [m for m in sys.modules if m.startswith("touchline.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "public_tokenizers", None)
+    assert "league_table" in __spark_entry__.queries() and not any(n.startswith("op") for n in __spark_entry__.queries())
+
+
 def test_missing_team_stats_read_as_an_empty_table(spark):
     assert tables.read_team_stats(spark, scratch_path(spark, "nothing")).schema.names == TEAM_STATS_SCHEMA.names
 

@@ -47,6 +47,41 @@ def csv_scan_union(spark, sf_dir):
     return clean.clean_matches(csv_files.scan_season_files(spark, folder).matches)
 
 
+def _write_damaged(raw: DataFrame, folder: str) -> None:
+    """Text files with a header each: sixteenths of the rows are too long or cut, a sixteenth is under a strange header."""
+    spark, digest = raw.sparkSession, F.md5("match_id")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    values = [F.coalesce(c, F.lit("")) for c in MATCH_COLUMNS]
+    line = (
+        F.when(F.substring(digest, 1, 1) == "0", F.concat_ws(",", *values, F.lit("more")))
+        .when(F.substring(digest, 1, 1) == "1", F.concat_ws(",", *values[:5]))
+        .otherwise(F.concat_ws(",", *values)))
+    kind = F.when(F.substring(digest, 2, 1) == "0", "strange").otherwise("season")
+    rows = raw.select(kind.alias("kind"), F.pmod(F.crc32(F.col("match_id").cast("binary")), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("place"), line.alias("value"))
+    headers = rows.select("kind", "part").distinct().select(
+        "kind", "part", F.lit(0).alias("place"), F.when(F.col("kind") == "strange", "x,y").otherwise(",".join(MATCH_COLUMNS)).alias("value"))
+    dealt = headers.unionByName(rows).repartition(parts, "kind", "part").sortWithinPartitions("kind", "part", "place")
+    dealt.drop("place").write.partitionBy("kind", "part").text(folder)
+
+
+_LINE = ", ".join(f"coalesce({q(c)}, '')" for c in MATCH_COLUMNS)
+_CUT = ", ".join(f"coalesce({q(c)}, '')" for c in MATCH_COLUMNS[:5])
+
+
+@query(f"""WITH {RAW}, d AS (SELECT *, substr(md5(match_id), 1, 1) AS h, substr(md5(match_id), 2, 1) = '0' AS strange FROM raw),
+lines AS (SELECT 'season' AS kind, CASE h WHEN '0' THEN concat_ws(',', {_LINE}, 'more') ELSE concat_ws(',', {_CUT}) END AS record,
+  CASE h WHEN '0' THEN '{len(MATCH_COLUMNS) + 1} fields instead of {len(MATCH_COLUMNS)}' ELSE '5 fields instead of {len(MATCH_COLUMNS)}' END AS error FROM d WHERE h IN ('0', '1') AND NOT strange)
+SELECT kind, record, error, count(*) AS rows FROM lines GROUP BY ALL
+UNION ALL SELECT DISTINCT 'strange', NULL, 'no known column in the header', NULL::BIGINT FROM d WHERE strange""")
+def csv_rejects(spark, sf_dir):
+    folder = scratch_path(spark, "damaged")
+    _write_damaged(raw_table(spark, sf_dir), folder)
+    scan = csv_files.scan_season_files(spark, folder, suffix=".txt", long_rows="row", short_rows="reject")
+    kind = F.regexp_extract("path", "kind=([a-z]+)", 1).alias("kind")
+    lines = F.count("record")
+    return scan.rejected.groupBy(kind, "record", "error").agg(F.when(lines > 0, lines).alias("rows"))
+
+
 @query(f"WITH {CLEAN} SELECT match_id, {columns(MATCH_COLUMNS)} FROM cleaned")
 def roundtrip_combined(spark, sf_dir):
     path = tables.write_table(_cleaned(spark, sf_dir), scratch_path(spark, "combined"))

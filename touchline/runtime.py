@@ -21,12 +21,17 @@ LOOKUP_SALTS = 32
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a fresh local one only if unset."""
+    """``spark.checkpoint.dir`` of the session, or the checkpoint folder that was set on it.
+
+    Only where neither is set and everything runs on this machine, a fresh local
+    folder takes its place; on a cluster executors could not see such a one.
+    """
     context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="touchline-")
-        spark.conf.set("spark.checkpoint.dir", root)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
     return root
