@@ -23,8 +23,8 @@ REGISTRY = Registry()
 query = REGISTRY.query
 
 CHECK_SETTINGS = models.Settings(
-    trees=10, depth=6, compare_depth=6, boost_rounds=3, boost_depth=3, logistic_rounds=50, ensemble_trees=10,
-    ensemble_depth=6, folds=3, grid_trees=(5, 10), grid_depths=(5,), grid_leaf_rows=(1,), grid_subsets=("sqrt",),
+    trees=10, depth=6, compare_depth=6, boost_rounds=3, boost_depth=3, ensemble_trees=10, ensemble_depth=6,
+    grid_trees=(5, 10), grid_depths=(4, 5, 6),
 )
 
 
@@ -54,6 +54,18 @@ def split_counts_stratified(spark, sf_dir):
     return splits.split_counts(splits.with_stratified_split(keys, "FTR"), "FTR")
 
 
+@query(f"""WITH {MATCHES}, drawn AS (SELECT "FTR", ('0x' || substr(md5(match_id || '|42'), 1, 15))::BIGINT AS draw,
+  ('0x' || substr(md5(match_id || '|43'), 1, 15))::BIGINT AS deal FROM matches),
+train AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "FTR" ORDER BY draw) AS place, count(*) OVER (PARTITION BY "FTR") AS n FROM drawn)
+  WHERE place > ceil(n*0.2::DOUBLE)),
+dealt AS (SELECT "FTR", row_number() OVER (PARTITION BY "FTR" ORDER BY deal) AS place, count(*) OVER (PARTITION BY "FTR") AS n FROM train)
+SELECT "FTR" AS label, {' + '.join(f'(place > (n*{i} + 4)//5)::INTEGER' for i in range(1, 5))} AS fold, count(*) AS rows FROM dealt GROUP BY ALL""")
+def fold_counts(spark, sf_dir):
+    keys = written_table(_matches(spark, sf_dir).select("match_id", "FTR"), "split-keys")
+    split = written_table(splits.with_stratified_split(keys, "FTR"), "split")
+    return splits.fold_counts(splits.with_stratified_fold(split, 5, "FTR", among=~F.col("is_test")), "FTR")
+
+
 _SCORES = f"""WITH {CLEAN}, full_ AS ({full_features_sql('cleaned', '0', '0', 'match_id, "FTR"')}),
 long AS ({' UNION ALL '.join(f"SELECT '{f}' AS feature, {i} AS position, {q(f)} AS x, " + '"FTR"' + " AS c FROM full_" for i, f in enumerate(FULL_FEATURES))}),
 per AS (SELECT feature, position, c, count(*)::DOUBLE AS n, sum(x) AS s, sum(x*x) AS qq FROM long GROUP BY ALL),
@@ -71,6 +83,13 @@ def feature_scores(spark, sf_dir):
     return feature_stats.feature_scores(_training_features(spark, sf_dir), FULL_FEATURES, "FTR")
 
 
+@query(f"{_SCORES} SELECT * FROM scores")
+def roundtrip_scores(spark, sf_dir):
+    scores = feature_stats.feature_scores(_training_features(spark, sf_dir), FULL_FEATURES, "FTR")
+    path = tables.write_table(scores, scratch_path(spark, "feature-scores"), "csv")
+    return spark.read.schema(scores.schema).csv(path, header=True)
+
+
 @query(f"""{_SCORES}, d AS (SELECT * FROM (VALUES {', '.join(f"('{c}', {text(t)})" for c, t in FEATURE_DESCRIPTIONS.items())}) v(code, description))
 SELECT code, description, score, selected FROM d LEFT JOIN scores ON feature = CASE code WHEN 'HTR' THEN 'HTR_encoded' ELSE code END""")
 def feature_dictionary(spark, sf_dir):
@@ -118,9 +137,10 @@ def ml_cv(spark, sf_dir):
 
 @query()
 def ml_grid(spark, sf_dir):
-    _, records = models.grid_search(_table(spark, sf_dir, FULL_FEATURES, stratified=True), FULL_FEATURES, CHECK_SETTINGS)
+    records = models.grid_search(_table(spark, sf_dir, FULL_FEATURES, stratified=True), FULL_FEATURES, CHECK_SETTINGS)
     return spark.createDataFrame(records, (
-        "numTrees int, maxDepth int, minInstancesPerNode int, featureSubsetStrategy string, cv_mean double, cv_std double, best boolean"))
+        "maxDepth int, featureSubsetStrategy string, minInstancesPerNode int, minSamplesSplit int, numTrees int, "
+        "cv_mean double, cv_std double, best boolean"))
 
 
 @query()
@@ -140,7 +160,10 @@ def _full_model(spark: SparkSession, sf_dir: str):
 
 @query()
 def feature_importance(spark, sf_dir):
-    return models.feature_importance(spark, _full_model(spark, sf_dir), top=15)
+    """Written as a table of importances and read back, as reports do."""
+    found = models.feature_importance(spark, _full_model(spark, sf_dir))
+    path = tables.write_table(found, scratch_path(spark, "importances"), "csv")
+    return spark.read.schema(found.schema).csv(path, header=True).orderBy(F.desc("importance"), "feature").limit(15)
 
 
 @query()
