@@ -3,6 +3,7 @@
 import json
 import math
 import os
+import random
 import subprocess
 import sys
 from datetime import date
@@ -20,6 +21,8 @@ from touchline.operators import clean, compare, envelopes, feature_stats, league
 from touchline.runtime import Lookup, scratch_path
 from touchline.schema import FULL_FEATURES, MATCH_COLUMNS, MATCH_STATS, MEASURES, TEAM_STATS_SCHEMA
 from touchline.sources import csv_files, tables
+from touchline.streaming.live_table import LiveTable, start_live_table
+from touchline.streaming.score_stream import fixture_stream
 
 # Rows of a published league table.
 GOLDEN = [
@@ -235,12 +238,53 @@ def test_replies(spark, golden):
     assert replies[6][1].startswith("⚽ **Chelsea:** Currently 700 points with 207 wins.")
 
 
-def test_mentions_do_not_depend_on_table_slices(spark, golden, monkeypatch):
-    asked = ask(spark, "stats: arsenal, man city", "form of birmingham and blackpool", "nothing")
-    one = sorted(messages.message_team_stats(asked, golden).collect())
-    monkeypatch.setattr(messages, "SLICE_ROWS", 2)
+def test_mentions_do_not_depend_on_the_index(spark, golden, monkeypatch):
+    texts = ["stats: arsenal, man city", "form of birmingham and blackpool", "nothing", None, "", "CHELSEA!", "ar", "stats: arsenal, man city"]
+    asked = ask(spark, *texts)
+    one, replies = sorted(messages.message_team_stats(asked, golden).collect()), sorted(messages.answers(asked, golden).collect())
+    monkeypatch.setattr(messages, "ARRAY_ROWS", 2)
     assert sorted(messages.message_team_stats(asked, golden).collect()) == one
-    assert [r["Team"] for r in one] == ["Man City", "Birmingham"]
+    assert sorted(messages.answers(asked, golden).collect()) == replies
+    assert [r["Team"] for r in one] == ["Man City", "Birmingham", "Chelsea", "Man City"]
+
+
+def test_mentions_of_fifty_thousand_names(spark):
+    rng = random.Random(5)
+    parts = ["ab", "an", "bor", "da", "el", "united", "é", "ö", "st. ", "x", "-", " city", "wo", "lin", "tra", "qu"]
+    names = {"q", "zz", "⚽ fc", "united"}
+    while len(names) < 50_000:
+        names.add("".join(rng.choice(parts) for _ in range(rng.randint(2, 6))).strip() or "q")
+    names = sorted(names)
+    points = {n: rng.randrange(90) for n in names}
+    table = Lookup(spark.createDataFrame([(n, 3, 1, 1, 1, 5.0, 4.0, 1.0, points[n], 33.0) for n in names], TEAM_STATS_SCHEMA))
+    texts = [f"how is {rng.choice(names).upper()} doing" for _ in range(60)] + ["zzz", "q", "⚽ FC", "", None, "hmm", "Ö" * 40, "".join(rng.choice(parts) for _ in range(2000))]
+    got = {r["id"]: r["Team"] for r in messages.message_team_stats(ask(spark, *texts), table).collect()}
+    for i, text in enumerate(texts):
+        hits = [n for n in names if n in (text or "").lower()]
+        assert got.get(i) == (min(hits, key=lambda n: (-points[n], n)) if hits else None), text
+
+
+def test_live_table_equals_batches_in_order(spark, tmp_path):
+    rng, teams = random.Random(2), "ABCDEF"
+    batches = [[match(100 * b + i, rng.choice(teams[: 3 + b]), rng.choice(teams), rng.choice(["H", "D", "A", None]), FTHG=rng.randrange(4), FTAG=rng.randrange(4)) for i in range(40)] for b in range(3)]
+    live, folder = LiveTable(spark, str(tmp_path / "live")), str(tmp_path / "in")
+    for rows in batches:
+        matches(spark, *rows).coalesce(1).write.mode("append").parquet(folder)
+        stream = fixture_stream(spark, folder, matches(spark, *rows).schema)
+        start_live_table(stream, live.root, str(tmp_path / "log")).awaitTermination()
+
+    def state():
+        return [sorted(live.stats(b).collect()) for b in range(3)], sorted(tuple(r.asDict().items()) for r in live.scores().collect())
+
+    tables_, scores = state()
+    for b in range(3):
+        before = matches(spark, *[r for rows in batches[: b + 1] for r in rows]).where("FTR IS NOT NULL")
+        assert tables_[b] == sorted(league.team_stats(before).collect())
+        want = scoring.score_fixtures(matches(spark, *batches[b]).where("FTR IS NULL"), Lookup(league.team_stats(before)))
+        assert [s for s in scores if dict(s)["batch"] == b] == sorted((*r.asDict().items(), ("batch", b)) for r in want.collect())
+    live.take(matches(spark, *batches[2]), 2)  # as after a failure
+    live.take(matches(spark, *batches[1]), 1)
+    assert state() == (tables_, scores)
 
 
 def test_csv_scan_skips_bad_files_and_keeps_names(spark, tmp_path):

@@ -25,10 +25,14 @@ _SIDES = {
 }
 
 
-def team_sides(matches: DataFrame, sums: tuple[str, ...]) -> DataFrame:
-    """Per (team, side): Matches, Wins, Draws and the named sums, one row per pair."""
+PAIR = ("HomeTeam", "AwayTeam")
+TABLE_SUMS = ("GoalsFor", "GoalsAgainst")
+
+
+def pair_sums(matches: DataFrame, sums: tuple[str, ...] = TABLE_SUMS) -> DataFrame:
+    """One row per (home, away) pair: matches, results and what the named sums of both teams need."""
     needed = sorted({column for name in sums for column in _SIDES[name]})
-    pairs = matches.groupBy("HomeTeam", "AwayTeam").agg(
+    return matches.groupBy(*PAIR).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("FTR") == "H").alias("home_wins"),
         F.count_if(F.col("FTR") == "A").alias("away_wins"),
@@ -36,6 +40,15 @@ def team_sides(matches: DataFrame, sums: tuple[str, ...]) -> DataFrame:
         *[F.sum(c).alias(f"sum_{c}") for c in needed],
     )
 
+
+def added_pairs(some: DataFrame, more: DataFrame) -> DataFrame:
+    """Pair sums of two sets of matches together."""
+    both = some.unionByName(more)
+    return both.groupBy(*PAIR).agg(*[F.sum(c).alias(c) for c in both.columns if c not in PAIR])
+
+
+def pair_sides(pairs: DataFrame, sums: tuple[str, ...]) -> DataFrame:
+    """Home and away view of pair sums."""
     def view(side: int) -> Column:
         return F.struct(
             F.col(("HomeTeam", "AwayTeam")[side]).alias("Team"),
@@ -49,9 +62,17 @@ def team_sides(matches: DataFrame, sums: tuple[str, ...]) -> DataFrame:
     return pairs.select(F.inline(F.array(view(0), view(1)))).where(F.col("Team").isNotNull())
 
 
+def team_sides(matches: DataFrame, sums: tuple[str, ...]) -> DataFrame:
+    """Per (team, side): Matches, Wins, Draws and the named sums, one row per pair."""
+    return pair_sides(pair_sums(matches, sums), sums)
+
+
+def _totals(sides: DataFrame, sums: tuple[str, ...]) -> DataFrame:
+    return sides.groupBy("Team").agg(*[F.sum(c).alias(c) for c in ("Matches", "Wins", "Draws") + sums])
+
+
 def team_totals(matches: DataFrame, sums: tuple[str, ...]) -> DataFrame:
-    columns = ("Matches", "Wins", "Draws") + sums
-    return team_sides(matches, sums).groupBy("Team").agg(*[F.sum(c).alias(c) for c in columns])
+    return _totals(team_sides(matches, sums), sums)
 
 
 def _table_columns(totals: DataFrame) -> DataFrame:
@@ -65,7 +86,12 @@ def _table_columns(totals: DataFrame) -> DataFrame:
 
 def team_stats(matches: DataFrame) -> DataFrame:
     """The league table, unordered."""
-    return _table_columns(team_totals(matches, ("GoalsFor", "GoalsAgainst")))
+    return stats_of_pairs(pair_sums(matches))
+
+
+def stats_of_pairs(pairs: DataFrame) -> DataFrame:
+    """The league table from pair sums."""
+    return _table_columns(_totals(pair_sides(pairs, TABLE_SUMS), TABLE_SUMS))
 
 
 def in_table_order(stats: DataFrame) -> DataFrame:
@@ -78,9 +104,8 @@ def league_table(matches: DataFrame) -> DataFrame:
 
 def home_record(matches: DataFrame) -> DataFrame:
     """The league table counting home matches only."""
-    columns = ("Matches", "Wins", "Draws", "GoalsFor", "GoalsAgainst")
-    home = team_sides(matches, ("GoalsFor", "GoalsAgainst")).where(F.col("Side") == "home")
-    return in_table_order(_table_columns(home.groupBy("Team").agg(*[F.sum(c).alias(c) for c in columns])))
+    home = team_sides(matches, TABLE_SUMS).where(F.col("Side") == "home")
+    return in_table_order(_table_columns(_totals(home, TABLE_SUMS)))
 
 
 def red_card_ranking(matches: DataFrame) -> DataFrame:

@@ -1,22 +1,22 @@
 """Routes a table of free-text questions and answers them from the league table.
 
-Routing is one pass of substring tests.  The league table reaches the messages
-as a sorted array (one per hash slice of at most ``SLICE_ROWS`` teams), so the
-"which team is mentioned" test needs neither a join on text nor a shuffle, and
-one popular team or message cannot make a hot task.
+Routing is one pass of substring tests.  A league table of at most ``ARRAY_ROWS``
+teams reaches the messages as one sorted array, so the "which team is mentioned"
+test needs neither a join on text nor a shuffle.  A larger one becomes an
+inverted index from the rarest three letters of each name to the names: the
+different texts meet it letter group by letter group, and only names that share
+theirs with a text are looked for in it.
 """
 
 from __future__ import annotations
 
-from math import ceil
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.labels import one_decimal, team_display
 from touchline.operators.compare import with_points_pick
 from touchline.operators.league import form_band, table_top
-from touchline.runtime import Lookup
+from touchline.runtime import Lookup, checkpointed
 
 # Words that decide what a message asks for, in the order tested.
 PREDICTION_WORDS = ("who will win", "predict", "prediction", "outcome", "result")
@@ -73,7 +73,10 @@ CLUB_CARDS = {
     ),
 }
 
-SLICE_ROWS = 5_000
+#: Teams that a text is tested against one by one.
+ARRAY_ROWS = 500
+#: Letters of an index key; a shorter name is its own key.
+GRAM = 3
 
 
 def _any_word(text: Column, words: tuple[str, ...]) -> Column:
@@ -120,33 +123,61 @@ def with_teams(messages: DataFrame, spellings: dict[str, str] = TEAM_SPELLINGS)
     }).drop("lowered", "found")
 
 
-def _with_mentioned(rows: DataFrame, stats: Lookup) -> DataFrame:
-    """Adds ``hit``: the row of the first team, in table order, whose name occurs in ``text``; else null.
-
-    Each slice of the table is a sorted array, so its first hit is its best one,
-    and the least of the slices' hits is the best of all.
-    """
-    slices = 1 if stats.table.limit(SLICE_ROWS + 1).count() <= SLICE_ROWS else ceil(stats.table.count() / SLICE_ROWS) * 2
-    row = F.struct(
+def _team_row() -> Column:
+    """A team of the table; the least of several is the first in table order."""
+    return F.struct(
         (-F.col("Points")).alias("rank"), "Team", F.lower("Team").alias("name"),
         *[F.col(c) for c in ("Points", "Wins", "Draws", "Losses")],
         *[F.col(c).cast("bigint").alias(c) for c in ("GoalsFor", "GoalsAgainst")],
     )
-    tables = {}
-    for i in range(slices):
-        part = stats.table.where(F.pmod(F.xxhash64("Team"), F.lit(slices)) == i)
-        tables[f"__teams{i}"] = part.agg(F.array_sort(F.collect_list(row)).alias("teams")).scalar()
-    rows = rows.withColumns(tables)
-
-    def first_hit(teams: str) -> Column:
-        # The outer one-element array lower-cases a text once instead of once per team.
-        found = F.transform(F.array(F.lower("text")), lambda text: F.filter(teams, lambda t: F.contains(text, t["name"])))
-        return F.slice(found[0], 1, 1)
-
-    hits = [first_hit(name) for name in tables]
-    best = hits[0] if slices == 1 else F.slice(F.array_sort(F.concat(*hits)), 1, 1)
+
+
+def _with_mentioned(rows: DataFrame, stats: Lookup) -> DataFrame:
+    """Adds ``hit``: the row of the first team, in table order, whose name occurs in ``text``; else null."""
+    if stats.table.limit(ARRAY_ROWS + 1).count() > ARRAY_ROWS:
+        return _mentioned_by_index(rows, stats)
+    teams = stats.table.agg(F.array_sort(F.collect_list(_team_row())).alias("teams")).scalar()
+    rows = rows.withColumn("__teams", teams)
+    # The outer one-element array lower-cases a text once instead of once per team.
+    found = F.transform(F.array(F.lower("text")), lambda text: F.filter("__teams", lambda t: F.contains(text, t["name"])))
     # A generator computes the hit once; a plain column would be copied into every filter on it.
-    return rows.select("*", F.explode_outer(best).alias("hit")).drop(*tables)
+    return rows.select("*", F.explode_outer(F.slice(found[0], 1, 1)).alias("hit")).drop("__teams")
+
+
+def _grams(text: Column, size: int) -> Column:
+    """The different groups of ``size`` neighbouring letters of a text."""
+    letters = F.filter(F.split(text, ""), lambda c: c != "")
+    # The outer one-element array takes a text apart once instead of once per group.
+    grams = F.transform(F.array(letters), lambda cs: F.transform(
+        F.sequence(F.lit(0), F.size(cs) - size), lambda i: F.array_join(F.slice(cs, i + 1, size), "")))
+    return F.when(F.char_length(text) >= size, F.array_distinct(grams[0])).otherwise(F.array().cast("array<string>"))
+
+
+def _name_index(stats: Lookup) -> tuple[Lookup, list[int]]:
+    """(gram, hit) with one row a team, its key being the group of its name that fewest names have; and the sizes of groups."""
+    names = stats.table.select(_team_row().alias("hit")).where("hit.name <> ''")
+    size = F.least(F.char_length("hit.name"), F.lit(GRAM))
+    sizes = sorted(r["size"] for r in names.select(size.alias("size")).distinct().collect())
+    by_size = F.lit(None).cast("array<string>")
+    for n in sizes:
+        by_size = F.when(size == n, _grams(F.col("hit.name"), n)).otherwise(by_size)
+    keys = checkpointed(names.select("hit", F.explode(by_size).alias("gram")))
+    common = Lookup(keys.groupBy("gram").agg(F.count(F.lit(1)).alias("names")))
+    counted = common.join(keys, {"gram": "gram"}, {"names": "names"}, "inner")
+    rarest = counted.groupBy("hit").agg(F.min(F.struct("names", "gram")).alias("key"))
+    return Lookup(rarest.select(F.col("key.gram").alias("gram"), "hit")), sizes
+
+
+def _mentioned_by_index(rows: DataFrame, stats: Lookup) -> DataFrame:
+    """As ``_with_mentioned`` for any number of teams: each different text is looked up once, and found again by its digest."""
+    index, sizes = _name_index(stats)
+    texts = rows.select(F.lower("text").alias("lower_text")).where(F.col("lower_text").isNotNull()).distinct()
+    grams = F.array().cast("array<string>")
+    for n in sizes:
+        grams = F.concat(grams, _grams(F.col("lower_text"), n))
+    met = index.join(texts.select("lower_text", F.explode(grams).alias("gram")), {"gram": "gram"}, {"hit": "hit"}, "inner")
+    found = met.where(F.contains("lower_text", F.col("hit.name"))).groupBy(F.md5("lower_text").alias("text_digest")).agg(F.min("hit").alias("hit"))
+    return rows.withColumn("text_digest", F.md5(F.lower("text"))).join(found, "text_digest", "left").drop("text_digest")
 
 
 def _win_rate(row: Column) -> Column:

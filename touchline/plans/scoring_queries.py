@@ -11,10 +11,11 @@ from touchline.operators import envelopes, league, metrics, scoring
 from touchline.plans.base_sql import MATCHES, REQUEST_MEASURES, REQUESTS, q, stats_cte, text
 from touchline.plans.registry import Registry
 from touchline.plans.table_queries import request_table
-from touchline.runtime import Lookup, scratch_path
+from touchline.runtime import Lookup, scratch_path, written_table
 from touchline.schema import HALF_TIME_GOALS, MATCH_STATS, RESULT_CODES
 from touchline.sources import star_tables, tables
 from touchline.streaming import score_stream as streaming
+from touchline.streaming.live_table import LiveTable, start_live_table
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -193,6 +194,39 @@ def score_stream(spark, sf_dir):
     return spark.read.parquet(scored)
 
 
+#: Three batches of matches by the first letter of a digest; a sixteenth of them, by the second, are fixtures yet to be played.
+_BATCHES = ("01234", "56789", "abcdef")
+_BATCH_SQL = "CASE " + " ".join(f"WHEN substr(md5(match_id), 1, 1) IN ({', '.join(text(c) for c in letters)}) THEN {i}" for i, letters in enumerate(_BATCHES)) + " END"
+_PLAYED = f"""WITH {MATCHES}, dealt AS (SELECT *, {_BATCH_SQL} AS batch, substr(md5(match_id), 2, 1) = '0' AS fixture FROM matches)"""
+
+
+def _live_table(spark, sf_dir) -> LiveTable:
+    arriving, root, checkpoint = (scratch_path(spark, f"live-{part}") for part in ("in", "table", "log"))
+    digest = F.md5("match_id")
+    rows = _matches(spark, sf_dir).withColumn("FTR", F.when(F.substring(digest, 2, 1) != "0", F.col("FTR")))
+    rows = written_table(rows, "live-matches")
+    for letters in _BATCHES:
+        rows.where(F.substring(digest, 1, 1).isin(*letters)).write.mode("append").parquet(arriving)
+        stream = streaming.fixture_stream(spark, arriving, rows.schema, files_per_batch=1_000_000)
+        start_live_table(stream, root, checkpoint).awaitTermination()
+    return LiveTable(spark, root)
+
+
+@query(f"{_PLAYED}, played AS (SELECT * FROM dealt WHERE NOT fixture), {stats_cte('played')} SELECT * FROM stats")
+def live_table(spark, sf_dir):
+    return _live_table(spark, sf_dir).stats(len(_BATCHES) - 1)
+
+
+_SCORED_BATCHES = " UNION ALL ".join(
+    f"""SELECT *, {i} AS batch FROM (WITH played AS (SELECT * FROM dealt WHERE NOT fixture AND batch <= {i}), {stats_cte('played')},
+  awaited AS (SELECT * FROM dealt WHERE fixture AND batch = {i}), {_scored_sql('awaited')} {_SCORES})""" for i in range(len(_BATCHES)))
+
+
+@query(f"{_PLAYED} {_SCORED_BATCHES}")
+def live_scores(spark, sf_dir):
+    return _live_table(spark, sf_dir).scores()
+
+
 def _label_sql(names: dict[str, str], value: str, otherwise: str) -> str:
     return f"CASE {value} " + " ".join(f"WHEN '{k}' THEN {text(v)}" for k, v in names.items()) + f" ELSE {otherwise} END"
 

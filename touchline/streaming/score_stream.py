@@ -1,8 +1,8 @@
 """Scores match rows as their files arrive.
 
 Each row is scored on its own, so the stream keeps no state and needs no
-watermark.  The league table is fixed when the query starts; restart the query
-from the same checkpoint to pick up a newer one.
+watermark.  The league table is fixed when the query starts; ``live_table`` has
+one that grows with the stream.
 """
 
 from __future__ import annotations
