@@ -1,5 +1,6 @@
 """The registered queries and the pipeline, on whole small tables."""
 
+import random
 import re
 from collections import Counter
 
@@ -92,6 +93,22 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert 0 < len(before) < table(spark, SF, "documents").count()
 
 
+def test_language_stage_judges_by_the_byte(spark):
+    """Noise and other languages go, whatever their length; clean texts stay, short ones, too."""
+    rng = random.Random(1)
+    docs = table(spark, SF, "documents")
+    prose = [r.text for r in docs.filter("lang = 'en' AND length(text) > 400").limit(20).collect()]
+    letters = "abcdefghijklmnopqrstuvwxyz     "
+    strange = ["".join(rng.choice(letters) for _ in range(n)) for n in (40, 300, 5000)]
+    strange += ["Wszyscy ludzie rodzą się wolni i równi w swojej godności i prawach. " * k for k in (1, 20)]
+    strange += ["人人生而自由,在尊严和权利上一律平等。", "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(900)), "12 34", "", None]
+    clean = [p[:n].rsplit(" ", 1)[0] for p in prose for n in (40, 120, 400)]
+    rows = [(10**6 + i, t, None, "s", 0) for i, t in enumerate(strange + clean)]
+    more = docs.unionByName(spark.createDataFrame(rows, docs.select("doc_id", "text", "lang", "source", "n_chars").schema))
+    kept = {r.doc_id for r in corpus_pipeline.known_language(spark, more, SF).select("doc_id").collect()}
+    assert {i for i, *_ in rows if i in kept} == {10**6 + len(strange) + i for i in range(len(clean))}
+
+
 def test_pipeline_on_odd_rows(spark, tmp_path):
     """Nulls, empty texts, repeated rows, clashing columns and no rows at all."""
     schema = "doc_id long, text string, lang string, source string, n_chars long, predicted string, n_words int, extra int"

@@ -250,23 +250,14 @@ def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_i
     """The texts without their hit spans; texts with a larger share of hit words than ``max_coverage`` are gone."""
     found = find_passages(packed(docs, text), items, text, item_id, item_text, window)
     kept = found.filter(words_hit() <= F.col("n_words") * max_coverage)
-    columns = docs.columns
-    rows = unpacked(kept.withColumn("__row", F.col("__row").withField("__spans", F.col("byte_spans"))), [*columns, "__spans"], text)
-
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(text).to_pylist()
-            for row, spans in enumerate(batch.column("__spans").to_pylist()):
-                if spans:
-                    texts[row] = without_spans(texts[row], spans)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else batch.column(c) for c in columns], names=columns)
-
-    return rows.mapInArrow(run, docs.schema)
-
-
-def without_spans(text: str, spans: list[dict]) -> str:
-    raw, out, at = text.encode(), [], 0
-    for span in spans:
-        out.append(raw[at: span["begin"]])
-        at = span["end"]
-    return b"".join([*out, raw[at:]]).decode()
+    clean = kept.withColumn(text, F.when(F.size("byte_spans") > 0, without_spans(F.col(text), F.col("byte_spans"))).otherwise(F.col(text)))
+    return unpacked(clean, docs.columns, text)
+
+
+def without_spans(text: Column, spans: Column) -> Column:
+    """A text without spans of its bytes; these begin and end with words, so no character is cut."""
+    raw = text.cast("binary")
+    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda s: s["end"].cast("long")))
+    ends = F.concat(F.transform(spans, lambda s: s["begin"].cast("long")), F.array(F.octet_length(text).cast("long")))
+    pieces = F.zip_with(begins, ends, lambda a, b: F.substring(raw, (a + 1).cast("int"), (b - a).cast("int")).cast("string"))
+    return F.array_join(pieces, "")

@@ -221,3 +221,15 @@ def predict(docs: DataFrame, model: ByteModel | None, text: str = "text", keep_t
         return compute
 
     return append_columns(docs, text, FIELDS, start, keep_text)
+
+
+def own_bits(docs: DataFrame, model: ByteModel, learn, key: str = "doc_id", text: str = "text", lang: str = "lang", max_texts: int = MAX_TEXTS) -> dict[str, float]:
+    """Bits that a byte of each language's training texts takes in its own tree, on average over their bytes.
+
+    What a language should cost, whatever the length of a text; a language none
+    of whose texts it wins has no entry.
+    """
+    judged = predict(_sample(docs, key, text, lang, learn, max_texts), model)
+    size = F.octet_length("text")
+    won = judged.filter("lang_pred = lang").groupBy("lang").agg((F.sum(F.col("bits_per_byte") * size) / F.sum(size)).alias("bits"))
+    return {r["lang"]: r["bits"] for r in won.collect()}

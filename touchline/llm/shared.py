@@ -48,10 +48,14 @@ def append_columns(df: DataFrame, text: str, fields: list[tuple[str, str]], star
 
     ``start`` runs once in every task and returns a function from the column's
     Arrow array to one Arrow array per field.  All other columns pass through
-    unchanged; an existing column with the name of a new one is replaced.
+    unchanged; an existing column with the name of a new one is replaced.  Where
+    the text stays, it is all that goes to Python, and only the new columns come
+    back; the rows wait in the JVM.
     """
     base = df.drop(*[name for name, _ in fields])
-    kept = [f for f in base.schema.fields if keep_text or f.name != text]
+    if keep_text:
+        return _beside_rows(base, text, fields, start)
+    kept = [f for f in base.schema.fields if f.name != text]
     added = T.StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in fields)).fields
     names = [f.name for f in kept] + [name for name, _ in fields]
     kept_names = [f.name for f in kept]
@@ -66,6 +70,30 @@ def append_columns(df: DataFrame, text: str, fields: list[tuple[str, str]], star
     return base.mapInArrow(run, T.StructType(kept + added))
 
 
+def _beside_rows(base: DataFrame, text: str, fields: list[tuple[str, str]], start: Callable[[], ArrowMap]) -> DataFrame:
+    names = [name for name, _ in fields]
+
+    @F.arrow_udf("struct<" + ",".join(f"{name}:{kind}" for name, kind in fields) + ">")
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        compute = start()
+        for column in columns:
+            yield pa.StructArray.from_arrays(compute(column), names=names)
+        pa.default_memory_pool().release_unused()
+
+    # Called non-deterministic, a filter on a result is not moved before it, where it would run a second time.
+    rows = base.withColumn("__new", run.asNondeterministic()(F.col(f"`{text}`")))
+    return rows.select(*[f"`{c}`" for c in base.columns], *[f"__new.{name}" for name in names])
+
+
+#: Texts that go to Python at once in a chain of stages, whose workers share an executor with the shuffles of all of them.
+FEW_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to few rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(FEW_ROWS))
+
+
 def packed(docs: DataFrame, text: str) -> DataFrame:
     """The text and all other columns as one, out of the way of columns that an operator adds."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != text]
