@@ -433,27 +433,81 @@ def test_hosts_paths_and_rules(spark):
     assert got == cases
 
 
-def test_ranks_match_power_iteration(spark):
-    rng = random.Random(9)
-    hosts = [f"h{i}" for i in range(12)]
-    links = Counter((rng.choice(hosts[:9]), rng.choice(hosts)) for _ in range(60))
-    links = {k: v for k, v in links.items() if k[0] != k[1]}
-    seeds = {"h1": 1.0, "h3": 0.25, "alone": 0.5}
-    got = url_trust.propagate(spark.createDataFrame([(*k, v) for k, v in links.items()], "src string, dst string, links long"),
-                              spark.createDataFrame(list(seeds.items()), "host string, weight double"), tolerance=1e-9, max_iterations=60).collect()
-    out = Counter()
+def random_links(rng, hosts, n):
+    links = Counter((rng.choice(hosts[: len(hosts) * 3 // 4]), rng.choice(hosts)) for _ in range(n))
+    return {k: v for k, v in links.items() if k[0] != k[1]}
+
+
+def brute_ranks(links, seeds, steps):
+    """PageRank with jumps to the seeds; hosts without links pass nothing on."""
+    out, rank = Counter(), Counter({h: 0.15 * w for h, w in seeds.items()})
     for (a, _), n in links.items():
         out[a] += n
-    rank = dict(seeds)
-    for _ in range(300):
+    for _ in range(steps):
         new = Counter({h: 0.15 * w for h, w in seeds.items()})
-        for h, r in rank.items():
-            if not out[h]:
-                new[h] += 0.85 * r
         for (a, b), n in links.items():
-            new[b] += 0.85 * rank.get(a, 0) * n / out[a]
-        rank = dict(new)
-    assert {r.host: r["rank"] for r in got} == pytest.approx({h: r for h, r in rank.items() if r > 0}, rel=1e-2, abs=1e-4)
+            new[b] += 0.85 * rank[a] * n / out[a]
+        rank = new
+    return rank
+
+
+def test_ranks_match_power_iteration(spark):
+    links = random_links(random.Random(9), [f"h{i}" for i in range(12)], 60)
+    seeds = {"h1": 1.0, "h3": 0.25, "alone": 0.5}
+    edges = spark.createDataFrame([(*k, v) for k, v in links.items()], "src string, dst string, links long")
+    rows = spark.createDataFrame([(h, w, 1.0) for h, w in seeds.items()] + [("h3", 0.0, 1.0)], "host string, a double, b double")
+    got = url_trust.propagate(edges, rows, ["a", "b"], tolerance=1e-9, max_iterations=100).collect()
+    for name, weights in (("a", seeds), ("b", {"h1": 1.0, "h3": 2.0, "alone": 1.0})):
+        assert {r.host: r[name] for r in got if r[name] > 0} == pytest.approx({h: r for h, r in brute_ranks(links, weights, 300).items() if r > 0}, abs=1e-7)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_verdicts_match_power_iteration(spark, seed):
+    """At production defaults, on hosts of all kinds; distrust is what the surfer who starts at a host meets."""
+    rng = random.Random(seed)
+    hosts = [f"{i}.{top}" for i in range(8) for top in ("net", "org", "com", "info", "example.net")]
+    rng.shuffle(hosts)
+    links = random_links(rng, hosts, 90)
+    rows = [(f"http://{a}/{rng.choice(['en/', 'fr/', 'x'])}", f'<a href="https://{b}/y">' * n) for (a, b), n in links.items()]
+    rows += [(f"http://{h}{rng.choice(['/en/', '/fr/', '/x', ''])}", None) for h in hosts[:30] for _ in range(3)]
+    rows += rows[:7]
+    edges, verdicts = Counter(), defaultdict(list)
+    for url, html in rows:
+        host, path = re.match(r"http://([^/]*)(.*)", url).groups()
+        fits = [r for r in RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        verdicts[host].append(max(fits, key=lambda r: len(r.name)).verdict if fits else None)
+        for to in re.findall(r"https://([^/]*)", html or ""):
+            edges[host, to] += 1
+    everyone = set(verdicts) | {h for pair in edges for h in pair}
+    share = {v: {h: verdicts[h].count(v) / len(verdicts[h]) if verdicts[h] else 0.0 for h in everyone} for v in ("allow", "block")}
+    rest = {h: 1 - share["allow"][h] - share["block"][h] for h in everyone}
+    steps = 25
+    trusted, uniform = brute_ranks(edges, share["allow"], steps), brute_ranks(edges, dict.fromkeys(everyone, 1.0), steps)
+    by_links = {h: (trusted[h] - 0.15 * share["allow"][h]) / (uniform[h] - 0.15) if uniform[h] > 0.15 + 1e-9 else 0.0 for h in everyone}
+    trust = {h: share["allow"][h] + rest[h] * 0.85 * by_links[h] for h in everyone}
+    out, distrust = Counter(), dict(share["block"])
+    for (a, _), n in edges.items():
+        out[a] += n
+    for _ in range(200):
+        met = Counter()
+        for (a, b), n in edges.items():
+            met[a] += n / out[a] * distrust[b]
+        distrust = {h: share["block"][h] + rest[h] * 0.85 * met[h] for h in everyone}
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    seen = Counter()
+    for r in url_trust.judged(pages, RULES).collect():
+        assert r.trust == pytest.approx(trust[r.host], abs=2e-3) and r.distrust == pytest.approx(distrust[r.host], abs=2e-3)
+        if r.rule is None:
+            assert r.verdict == ("block" if distrust[r.host] >= 0.5 and distrust[r.host] > trust[r.host] else "allow")
+            seen[r.verdict] += 1
+    assert min(seen["allow"], seen["block"]) > 0
+
+
+def test_long_pages_and_repeated_rows(spark):
+    filler = "<p>no link here</p>" * 20_000
+    rows = [("http://far.com/", filler + '<a href="//bad.net/">' + filler)] * 3 + [("http://bad.net/", None)] * 2
+    got = url_trust.judged(spark.createDataFrame(rows, "url string, html string"), RULES).collect()
+    assert Counter((r.host, r.verdict) for r in got) == {("far.com", "block"): 3, ("bad.net", "block"): 2}
 
 
 def test_links_spread_trust_and_distrust(spark):

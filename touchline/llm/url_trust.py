@@ -2,13 +2,23 @@
 
 A rule (host, path) fits its host and all subdomains where the path starts with
 the rule's; the longest that fits decides.  For the other pages the host
-decides.  A host's distrust is the share of its pages that rules block, and for
-the share that no rule decides, DAMPING times the average distrust of the hosts
-it links to, as a site that links to blocked ones is suspect.  Its trust is the
-share that rules allow, and for the undecided share DAMPING times the average
-trust of the hosts that link to it.  Averages weigh links, so a figure does not
-depend on how many other hosts link to (or are linked from) the same one, a host
-keeps what rules say of its own pages, and one with more than half of them
+decides, by two figures between 0 and 1.
+
+Trust is personalised PageRank from the hosts that rules allow, weighted by the
+allowed share of their pages, over the edges.  Ranks are split among the hosts
+that one links to and so depend on how many there are; uniform PageRank over the
+same edges is split in the same way, and the share of what reaches a host by
+links that stems from trusted seeds does not depend on numbers.
+
+Distrust goes back from the hosts that rules block over the reversed edges: a
+host takes DAMPING times the link-weighted average of those it links to.  That
+is the same random surfer seen from his start: the figure is what personalised
+PageRank from this host (over 1 - DAMPING) puts on blocked pages.  It does not
+depend on how many others link to the same blocked host, as the rank of a walk
+from there over reversed edges would.
+
+Both hold for the share of a host's pages that no rule decides; the shares that
+rules allow and block count in full, so a host with more than half of its pages
 blocked is blocked whatever links say.
 """
 
@@ -22,7 +32,7 @@ from pyspark.sql import functions as F
 from touchline.runtime import Lookup, checkpointed, written_table
 
 DAMPING = 0.85
-#: Averages end when no host changes by more; ranks when all together change by less, or after so many steps.
+#: Steps end when no distrust, or the ranks by this share of all, change by more; ranks also after so many steps.
 TOLERANCE = 1e-4
 MAX_ITERATIONS = 25
 #: A host is blocked if its distrust is at least this and above its trust.
@@ -70,34 +80,35 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return linked.filter("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE,
+def propagate(edges: DataFrame, seeds: DataFrame, weights: list[str], damping: float = DAMPING, tolerance: float = TOLERANCE,
               max_iterations: int = MAX_ITERATIONS) -> DataFrame:
-    """(host, rank) of personalised PageRank over (src, dst, links) from seeds (host, weight).
+    """host and, under the names of ``weights``, ranks of personalised PageRank over (src, dst, links).
 
-    Each step sends a host's rank on in proportion to its links; a host
-    without links keeps it.  Hosts that nothing reaches are left out.
+    Every weight column of ``seeds`` is a personalisation of its own; all go
+    along in one walk.  Each step sends a host's ranks on in proportion to its
+    links.  What a host without links would pass on is dropped, which scales a
+    vector of ranks as a whole.  Hosts that nothing reaches are left out.
     """
     out_links = edges.groupBy("src").agg(F.sum("links").alias("all"))
-    flows = edges.join(out_links, "src").select("src", "dst", (F.col("links") / F.col("all")).alias("share"))
+    flows = edges.join(out_links, "src").select("src", "dst", (F.col("links") / F.col("all") * damping).alias("share"))
     flows = written_table(flows, "flows")
-    linking = checkpointed(flows.select(F.col("src").alias("host")).distinct())
-    base = checkpointed(seeds.groupBy("host").agg(F.sum("weight").alias("weight")).filter("weight > 0"))
-    ranks = base.select("host", F.col("weight").alias("rank"))
+    jumps = seeds.groupBy("host").agg(*[((1 - damping) * F.sum(w)).alias(w) for w in weights])
+    jumps = checkpointed(jumps.filter(" OR ".join(f"{w} > 0" for w in weights)))
+    whole = jumps.agg(*[F.sum(w) for w in weights]).first()
+    ranks = jumps
     for _ in range(max_iterations):
-        moved = ranks.join(flows, ranks["host"] == flows["src"]).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
-        stays = ranks.join(linking, "host", "left_anti").select("host", (F.col("rank") * damping).alias("rank"))
-        jumps = base.select("host", (F.col("weight") * (1 - damping)).alias("rank"))
-        following = checkpointed(moved.unionByName(stays).unionByName(jumps).groupBy("host").agg(F.sum("rank").alias("rank")))
-        both = following.unionByName(ranks.select("host", (-F.col("rank")).alias("rank")))
-        change = both.groupBy("host").agg(F.sum("rank").alias("d")).agg(F.sum(F.abs("d"))).first()[0] or 0.0
+        moved = ranks.join(flows, ranks["host"] == flows["src"]).select(F.col("dst").alias("host"), *[(F.col(w) * F.col("share")).alias(w) for w in weights])
+        following = checkpointed(moved.unionByName(jumps).groupBy("host").agg(*[F.sum(w).alias(w) for w in weights]))
+        both = following.unionByName(ranks.select("host", *[(-F.col(w)).alias(w) for w in weights]))
+        changes = both.groupBy("host").agg(*[F.sum(w).alias(w) for w in weights]).agg(*[F.sum(F.abs(w)) for w in weights]).first()
         ranks = following
-        if change < tolerance:
+        if all((change or 0.0) <= tolerance * (total or 0.0) for change, total in zip(changes, whole)):
             break
     return ranks
 
 
 def averaged(edges: DataFrame, own: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
-    """(host, rank) where rank = weight + rest * damping * the average rank of the hosts that src links to.
+    """(host, rank): weights carried back over the edges, rank = weight + rest x damping x the average rank of the hosts linked to.
 
     ``own`` has (host, weight, rest) of hosts; one that it lacks has weight 0 and
     rest 1.  A step shrinks all differences by ``damping``, so steps end by
@@ -121,7 +132,7 @@ def averaged(edges: DataFrame, own: DataFrame, damping: float = DAMPING, toleran
 
 
 def host_trust(pages: DataFrame, rules: list[Rule], url: str = "url", html: str = "html") -> DataFrame:
-    """(host, trust, distrust) of every host that is a seed or reached from one."""
+    """(host, trust, distrust) of every host that has a page, a link or is linked to."""
     host, path = host_of(F.col(url)), path_of(F.col(url))
     ruled = pages.select(host.alias("host"), rule_for(rules, host, path)["verdict"].alias("verdict"))
     share = [F.coalesce(F.avg(F.when(F.col("verdict") == v, 1.0).otherwise(0.0)), F.lit(0.0)).alias(v) for v in ("allow", "block")]
@@ -129,12 +140,18 @@ def host_trust(pages: DataFrame, rules: list[Rule], url: str = "url", html: str
     edges = written_table(host_edges(pages, url, html), "edges")
     if edges.isEmpty():  # all hosts keep their seed
         return seeds.select("host", F.col("allow").alias("trust"), F.col("block").alias("distrust"))
-    rest = F.greatest(1 - F.col("allow") - F.col("block"), F.lit(0.0)).alias("rest")
-    distrust = averaged(edges, seeds.select("host", F.col("block").alias("weight"), rest)).withColumnRenamed("rank", "distrust")
-    backward = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
-    trust = averaged(backward, seeds.select("host", F.col("allow").alias("weight"), rest)).withColumnRenamed("rank", "trust")
-    both = trust.join(distrust, "host", "full")
-    return both.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    rest = F.greatest(1 - F.col("allow") - F.col("block"), F.lit(0.0))
+    distrust = averaged(edges, seeds.select("host", F.col("block").alias("weight"), rest.alias("rest"))).withColumnRenamed("rank", "distrust")
+    linked = edges.select(F.explode(F.array("src", "dst")).alias("host")).distinct()
+    hosts = checkpointed(seeds.join(linked, "host", "full").select(
+        "host", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("allow", "block")], F.lit(1.0).alias("any")))
+    ranks = propagate(edges, hosts, ["allow", "any"]).select("host", F.col("allow").alias("from_trusted"), F.col("any").alias("from_all"))
+    # What came by links is the rank without the host's own jump.
+    share = F.try_divide(F.col("from_trusted") - (1 - DAMPING) * F.col("allow"), F.col("from_all") - (1 - DAMPING))
+    reached = F.col("from_all") > (1 - DAMPING) * (1 + 1e-9)
+    trust = F.col("allow") + F.when(reached, rest * DAMPING * F.greatest(share, F.lit(0.0))).otherwise(0.0)
+    both = hosts.join(ranks, "host", "left").join(distrust, "host", "left")
+    return both.select("host", trust.alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
 
 def judged(pages: DataFrame, rules: list[Rule], url: str = "url", html: str = "html", block_at: float = BLOCK_AT) -> DataFrame:
@@ -142,7 +159,9 @@ def judged(pages: DataFrame, rules: list[Rule], url: str = "url", html: str = "h
 
     A null url and one without ``://`` have an empty host and path, no rule and
     the verdict allow.  A null html has no links.  A host that no seed reaches
-    has trust and distrust 0 and is allowed.
+    has trust and distrust 0 and is allowed.  Repeated rows are pages of their
+    own: they stay, and count in their host's shares and links.  Whole texts are
+    searched for links, however long.  No pages give no rows.
     """
     new = ("host", "path", "rule", "verdict", "trust", "distrust", "__rule")
     trust = Lookup(host_trust(pages, rules, url, html))
