@@ -108,6 +108,36 @@ def test_code_lengths_match_the_trees(spark):
             assert got[row] == pytest.approx([want["de"], want["en"]], rel=1e-5)
 
 
+@pytest.mark.parametrize("order, dense", [(0, 1 << 24), (1, 1), (2, 1 << 24), (4, 1 << 24), (5, 100)])
+def test_code_lengths_of_any_order_and_alphabet(spark, monkeypatch, order, dense):
+    """Thirty languages with letters of their own; contexts looked up in tables and by search."""
+    monkeypatch.setattr(language_id, "DENSE_CODES", dense)
+    rng = random.Random(order)
+    letters = ["".join(chr(rng.choice([0x61, 0xE0, 0x410, 0x5D0, 0x4E00]) + rng.randrange(20)) for _ in range(12)) for _ in range(30)]
+    text = lambda i, n: "".join(rng.choice(letters[i] + " ") for _ in range(n))
+    train = [(i, text(i % 30, 60), f"l{i % 30:02}") for i in range(90)]
+    model = language_id.fit(spark.createDataFrame(train, DOCS), F.lit(True), order=order)
+    by_lang = defaultdict(list)
+    for _, t, lang in train:
+        by_lang[lang].append(t)
+    texts = [text(i, 25) for i in (0, 7, 29)] + ["", "zzz ~", train[4][1]]
+    for block in byteblocks.blocks(pa.array(texts), 64):
+        for row, bits in enumerate(language_id.code_lengths(model, block)):
+            want = brute_bits(by_lang, texts[block.first + row], order)
+            assert bits == pytest.approx([want[lang] for lang in model.languages], rel=1e-5)
+
+
+def test_all_contexts_stay(spark):
+    """More different contexts than 60,000, and none is lost."""
+    rng = random.Random(4)
+    data = ["".join(chr(0x800 + rng.randrange(50_000)) for _ in range(6000)) for _ in range(20)]
+    model = language_id.fit(spark.createDataFrame([(i, t, "zh" if i % 2 else "ja") for i, t in enumerate(data)], DOCS), F.lit(True))
+    raw = [t.encode() for t in data]
+    for length, level in enumerate(model.levels):
+        assert len(level.codes) == len({t[i: i + length] for t in raw for i in range(len(t) - length)})
+    assert len(model.levels[3].codes) > 60_000
+
+
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = language_id.fit(docs, fold("doc_id", 5) != 0)

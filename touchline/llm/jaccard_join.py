@@ -455,7 +455,8 @@ def links_by_leader(related: DataFrame, classes: DataFrame, percent: int) -> Dat
                 out = np.stack([nodes[tied], nodes[root[tied]]])
         return pa.table({"a": out[0], "b": out[1]})
 
-    return asking.unionByName(asked).groupBy("a", "i", "j").applyInArrow(compare, "a long, b long")
+    # Both sides lie by leader already, which would do for the grouping and leave all blocks of one in a task.
+    return asking.unionByName(asked).repartition("a", "i", "j").groupBy("a", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:

@@ -8,8 +8,13 @@ the escape, -log2(q / (n + q)), and then its cost in the context one shorter.
 Below order 0 all 256 bytes are alike.  The language with the fewest bits for
 the whole text wins, the alphabetically first among equals.
 
-The trees of all languages become two flat tables of costs, so a text is scored
-by array look-ups: every byte has its full context at once.
+The trees of all languages become flat sparse tables, one set for each length of
+contexts: a row for a context that some language knows, a bit for each symbol
+seen there, and for each seen symbol its cost in every language.  All contexts of
+the training texts are in them, and nothing else, so their size is bounded by
+these texts, whatever the alphabet and the number of languages.  A text is scored
+by array look-ups: all bytes in their longest contexts at once, what those do not
+know in the next shorter ones, and so on.
 """
 
 from __future__ import annotations
@@ -29,8 +34,10 @@ UNDETERMINED = "und"
 ORDER = 3
 #: Training texts of one language; they are those with the smallest hashes of their keys.
 MAX_TEXTS = 1500
-#: Contexts of the highest order that stay in the tables: those seen most often.
-MAX_CONTEXTS = 60_000
+#: The longest contexts that fit in the integers of grams and context codes.
+MOST_ORDER = 5
+#: Context codes up to this are looked up in a table of all, larger ones by search.
+DENSE_CODES = 1 << 24
 #: Bytes that are scored at once; each has a cost in every language.
 SCORED_BYTES = 1 << 18
 FIELDS = [("lang_pred", "string"), ("score", "double"), ("bits_per_byte", "double")]
@@ -39,20 +46,65 @@ _fold = np.arange(256, dtype=np.uint8)
 _fold[65:91] += 32
 
 
+@dataclass
+class Level:
+    """All contexts of one length, in the order of their codes."""
+
+    codes: np.ndarray
+    index: np.ndarray | None  # code -> row + 1, where codes are small
+    first: np.ndarray         # the row's first cost
+    seen: np.ndarray          # [row, 64 symbols each] bits
+    before: np.ndarray        # [row, 64 symbols each] symbols seen in the words before
+    costs: np.ndarray         # [seen symbol of a row, language]
+    escape: np.ndarray        # [row, language]
+
+    def rows(self, codes: np.ndarray) -> np.ndarray:
+        """The row of each context, -1 if no language knows it."""
+        if self.index is not None:
+            return self.index[codes] - 1
+        place = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[place] == codes, place, -1)
+
+
 @dataclass
 class ByteModel:
-    """Cost tables: [symbol of each byte], [trigram, language] and [long context, symbol, language]."""
+    """Symbols of bytes (0: in no training text) and one level for each length of contexts, from 0."""
 
     languages: list[str]
     symbols: np.ndarray
-    short: np.ndarray
-    context: np.ndarray
-    long: np.ndarray
+    levels: list[Level]
 
     @property
     def width(self) -> int:
         return int(self.symbols.max()) + 1
 
+    @property
+    def order(self) -> int:
+        return len(self.levels) - 1
+
+    def costs(self, contexts: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """Bits [byte, language] of symbols in contexts of full length, the newest symbol being the code's last digit."""
+        out = np.zeros((len(symbols), len(self.languages)))
+        left, contexts = np.arange(len(symbols)), contexts.astype(np.int64)
+        for length in reversed(range(len(self.levels))):
+            level = self.levels[length]
+            if not len(level.codes):
+                continue
+            row = level.rows(contexts[left] % self.width ** length)
+            there = np.flatnonzero(row >= 0)
+            row, symbol = row[there], symbols[left[there]]
+            word, bit = symbol >> 6, (symbol & 63).astype(np.uint64)
+            bits = level.seen[row, word]
+            hit = (bits >> bit) & np.uint64(1) == 1
+            rank = np.bitwise_count(bits[hit] & ((np.uint64(1) << bit[hit]) - np.uint64(1)))
+            out[left[there[hit]]] += level.costs[level.first[row[hit]] + level.before[row[hit], word[hit]] + rank]
+            out[left[there[~hit]]] += level.escape[row[~hit]]
+            stays = np.ones(len(left), bool)
+            stays[there[hit]] = False
+            left = left[stays]
+        out[left] += 8.0  # below order 0
+        return out
+
 
 def _counts_of_texts(column: pa.Array, langs: pa.Array, order: int):
     """(language, gram length, gram, count) of a batch, grams as integers of 9-bit symbols."""
@@ -68,10 +120,10 @@ def _counts_of_texts(column: pa.Array, langs: pa.Array, order: int):
             for k in range(length):
                 gram = (gram << 9) | data[k: len(data) - length + 1 + k]
             whole = row[: len(gram)] == row[length - 1:]
-            keys, counts = np.unique((lang[: len(gram)][whole].astype(np.int64) << 36) | gram[whole], return_counts=True)
+            here, gram = lang[: len(gram)][whole], gram[whole]
             for code, name in enumerate(names):
-                mine = (keys >> 36) == code
-                yield name, length, keys[mine] & ((1 << 36) - 1), counts[mine]
+                keys, counts = np.unique(gram[here == code], return_counts=True)
+                yield name, length, keys, counts
 
 
 def training_grams(texts: DataFrame, order: int) -> DataFrame:
@@ -100,92 +152,79 @@ def _sample(docs: DataFrame, key: str, text: str, lang: str, learn, max_texts: i
 
 
 def fit(docs: DataFrame, learn, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER,
-        max_texts: int = MAX_TEXTS, max_contexts: int = MAX_CONTEXTS) -> ByteModel | None:
-    """Trees from the rows where ``learn`` holds; None if there are none."""
+        max_texts: int = MAX_TEXTS) -> ByteModel | None:
+    """Trees of contexts of up to ``order`` bytes from the rows where ``learn`` holds; None if there are none."""
+    if not 0 <= order <= MOST_ORDER:
+        raise ValueError(f"contexts have 0 to {MOST_ORDER} bytes")
     rows = training_grams(_sample(docs, key, text, lang, learn, max_texts), order).toArrow()
     if rows.num_rows == 0:
         return None
-    return build(rows["lang"].to_pylist(), rows["length"].to_numpy(), rows["gram"].to_numpy(), rows["n"].to_numpy(), order, max_contexts)
+    return build(rows["lang"], rows["length"].to_numpy(), rows["gram"].to_numpy(), rows["n"].to_numpy(), order)
 
 
-def build(langs: list[str], lengths: np.ndarray, grams: np.ndarray, counts: np.ndarray, order: int, max_contexts: int) -> ByteModel:
-    """Cost tables from gram counts; ``order`` is 3 or more bytes of context at the most."""
-    if order != 3:
-        raise ValueError("the tables hold contexts of three bytes")
-    languages = sorted(set(langs))
-    lang = np.array([languages.index(x) for x in langs])
+def build(langs: pa.ChunkedArray, lengths: np.ndarray, grams: np.ndarray, counts: np.ndarray, order: int) -> ByteModel:
+    """Tables from gram counts."""
+    coded = langs.combine_chunks().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    languages = sorted(names)
+    lang = np.array([languages.index(name) for name in names])[coded.indices.to_numpy()]
     seen = np.unique(grams[lengths == 1])  # folded byte + 1
-    width = len(seen) + 1  # symbol 0: any byte that no training text has
     symbols = np.zeros(256, np.int64)
-    symbols[seen - 1] = np.arange(1, width)
+    symbols[seen - 1] = np.arange(1, len(seen) + 1)
     symbols[65:91] = symbols[97:123]
-
-    def code(gram: np.ndarray, length: int) -> np.ndarray:
-        out = np.zeros(len(gram), np.int64)
+    model = ByteModel(languages, symbols, [])
+    for length in range(1, order + 2):
+        mine = lengths == length
+        full = np.zeros(int(mine.sum()), np.int64)
         for k in reversed(range(length)):
-            out = out * width + symbols[((gram >> (9 * k)) & 511) - 1]
-        return out
-
-    cost = np.full((1, len(languages)), 8.0)  # below order 0
-    for length in range(1, 4):  # dense: every gram of up to three symbols
-        cost = _deeper(cost, np.arange(width ** (length - 1)), width, length, lang, lengths, counts, code, grams, len(languages))
-    # Of the longest contexts only those that occur have rows of their own.
-    mine = lengths == 4
-    contexts, which = np.unique(code(grams[mine], 4) // width, return_inverse=True)
-    weight = np.bincount(which, counts[mine], len(contexts))
-    contexts = np.sort(contexts[np.argsort(-weight, kind="stable")[:max_contexts]])
-    deep = _deeper(cost, contexts, width, 4, lang, lengths, counts, code, grams, len(languages))
-    index = np.zeros(width ** 3, np.int32)
-    index[contexts] = np.arange(1, len(contexts) + 1)
-    long = np.concatenate([np.zeros((width, len(languages))), deep])
-    return ByteModel(languages, symbols.astype(np.int32), cost.astype(np.float32), index, long.astype(np.float32))
-
-
-def _deeper(shorter, contexts, width, length, lang, lengths, counts, code, grams, n_lang) -> np.ndarray:
-    """Costs [context x symbol, language] one order up from those one order down."""
-    if len(contexts) == 0:
-        return np.zeros((0, n_lang))
-    mine = lengths == length
-    full, who, count = code(grams[mine], length), lang[mine], counts[mine].astype(np.float64)
-    place = np.searchsorted(contexts, full // width)
-    known = (place < len(contexts)) & (contexts[np.minimum(place, len(contexts) - 1)] == full // width)
-    place, symbol, who, count = place[known], full[known] % width, who[known], count[known]
-    slot = place * n_lang + who
-    total = np.bincount(slot, count, len(contexts) * n_lang).reshape(-1, n_lang)
-    kinds = np.bincount(slot, minlength=len(contexts) * n_lang).reshape(-1, n_lang).astype(np.float64)
-    with np.errstate(divide="ignore", invalid="ignore"):
+            full = full * model.width + symbols[((grams[mine] >> (9 * k)) & 511) - 1]
+        model.levels.append(_level(model, length - 1, full, lang[mine], counts[mine].astype(np.float64)))
+    return model
+
+
+def _level(model: ByteModel, length: int, full: np.ndarray, lang: np.ndarray, counts: np.ndarray) -> Level:
+    """The level of contexts of ``length`` symbols from their grams, one symbol longer, above the levels that the model has."""
+    width, n_lang = model.width, len(model.languages)
+    keys, place = np.unique(full, return_inverse=True)
+    codes, first, row = np.unique(keys // width, return_index=True, return_inverse=True)
+    slot = row[place] * n_lang + lang
+    total = np.bincount(slot, counts, len(codes) * n_lang).reshape(-1, n_lang)
+    kinds = np.bincount(slot, minlength=len(codes) * n_lang).reshape(-1, n_lang).astype(np.float64)
+    with np.errstate(divide="ignore", invalid="ignore"):  # a tree that lacks the context costs nothing to leave
         escape = np.where(kinds > 0, np.log2((total + kinds) / kinds), 0.0)
-    # The context one shorter drops its oldest symbol; a tree that lacks the context costs nothing to leave.
-    tail = contexts % (width ** (length - 2)) if length > 1 else contexts
-    below = shorter.reshape(-1, width, n_lang)[tail] if length > 1 else np.broadcast_to(shorter, (1, width, n_lang))
-    out = below + escape[:, None, :]
-    out[place, symbol, who] = np.log2((total + kinds)[place, who]) - np.log2(count)
-    return out.reshape(-1, n_lang)
+    costs = escape[row] + model.costs(keys // width, keys % width)
+    costs[place, lang] = np.log2((total + kinds)[row[place], lang]) - np.log2(counts)
+    words = (width + 63) // 64
+    seen = np.zeros((len(codes), words), np.uint64)
+    symbol = keys % width
+    np.bitwise_or.at(seen, (row, symbol >> 6), np.uint64(1) << (symbol & 63).astype(np.uint64))
+    held = np.bitwise_count(seen).astype(np.int64)
+    index = None
+    if width ** length <= DENSE_CODES:
+        index = np.zeros(width ** length, np.int32)
+        index[codes] = np.arange(1, len(codes) + 1)
+    return Level(codes, index, first, seen, (np.cumsum(held, axis=1) - held).astype(np.int16), costs.astype(np.float32), escape.astype(np.float32))
 
 
 def code_lengths(model: ByteModel, block: byteblocks.Block) -> np.ndarray:
     """Bits of every row in every language.
 
-    A row begins as if three bytes unknown to all trees stood before it.
+    A row begins as if bytes unknown to all trees stood before it.
     """
     rows, n_lang = block.rows, len(model.languages)
     if len(block.data) == 0:
         return np.zeros((rows, n_lang))
-    width, s = model.width, model.symbols[block.data]
-    prev = np.zeros((3, len(s)), np.int32)
-    begins = block.offsets[:-1]
-    for k in range(3):
-        prev[k, k + 1:] = s[: len(s) - k - 1]
-        for back in range(k + 1):  # positions within the first bytes of a row have no byte so far back
-            at = begins + back
-            prev[k, at[(at < len(s)) & (at < block.offsets[1:])]] = 0
-    near = (prev[1] * width + prev[0]) * width + s
-    long = model.context[(prev[2] * width + prev[1]) * width + prev[0]]
-    costs = model.short[near]
-    deep = np.flatnonzero(long)
-    costs[deep] = model.long[long[deep] * width + s[deep]]
+    s, begins = model.symbols[block.data], block.offsets[:-1]
+    contexts = np.zeros(len(s), np.int64)
+    for k in reversed(range(model.order)):
+        back = np.zeros(len(s), np.int64)
+        back[k + 1:] = s[: len(s) - k - 1]
+        for near in range(k + 1):  # the first bytes of a row have no byte so far back
+            at = begins + near
+            back[at[(at < len(s)) & (at < block.offsets[1:])]] = 0
+        contexts = contexts * model.width + back
     sums = np.zeros((len(s) + 1, n_lang))
-    np.cumsum(costs, axis=0, dtype=np.float64, out=sums[1:])
+    np.cumsum(model.costs(contexts, s), axis=0, out=sums[1:])
     return sums[block.offsets[1:]] - sums[begins]
 
 
