@@ -20,7 +20,6 @@ def test_matches_sql(spark, con, name):
     assert compare(QUERIES[name](spark, SF_DIR), con, ORACLES[name]) is None
 
 
-# The two slowest model queries train several models each; check.py runs them.
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"ml_compare", "ml_grid"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_gives_rows(spark, name):
     assert QUERIES[name](spark, SF_DIR).limit(1).count() == 1
