@@ -387,13 +387,19 @@ def test_a_session_without_checkpoint_folder(tmp_path):
     assert done.stdout.split() == ["5", "7", "True"], done.stderr[-2000:]
 
 
-def test_queries_without_the_libraries_of_the_optional_ones(monkeypatch):
-    import __spark_entry__
+NO_LIBRARY = """
+import sys
+sys.modules["public_tokenizers"] = None
+import __spark_entry__
+names = __spark_entry__.queries()
+print("league_table" in names, any(name.startswith("op") for name in names))
+"""
 
-    for name in [m for m in sys.modules if m.startswith("touchline.llm") or m == "corpus_pipeline"]:
-        monkeypatch.delitem(sys.modules, name)
-    monkeypatch.setitem(sys.modules, "public_tokenizers", None)
-    assert "league_table" in __spark_entry__.queries() and not any(n.startswith("op") for n in __spark_entry__.queries())
+
+def test_queries_without_the_libraries_of_the_optional_ones():
+    root = Path(__file__).resolve().parent.parent
+    done = subprocess.run([sys.executable, "-c", NO_LIBRARY], env=os.environ | {"PYTHONPATH": str(root)}, capture_output=True, text=True, timeout=60)
+    assert done.stdout.split() == ["True", "False"], done.stderr[-2000:]
 
 
 def test_missing_team_stats_read_as_an_empty_table(spark):
