@@ -225,6 +225,24 @@ def test_passages_match_brute_force(spark, window, options):
             assert ALNUM.findall(low(cut)) == ALNUM.findall(low(r.text))[span.begin: span.end]
 
 
+def test_passages_of_items_in_many_parts(spark):
+    rng = random.Random(12)
+    vocabulary = ["w%d" % i for i in range(400)]
+    text = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    items = [(i, text(rng.choice([1, 2, 5, 30, 60]))) for i in range(300)]
+    items += [(400, items[5][1]), (401, items[5][1]), (400, items[5][1]), *[(500, text(40)) for _ in range(60)]]  # an id with a fifth of all items
+    longs = [t for _, t in items if len(t.split()) >= 30]
+    rows = [(i, " ".join([text(20), *(x for _ in range(rng.randrange(3)) for x in (" ".join(rng.choice(longs).split()[3:20]), text(3)))])) for i in range(120)]
+    docs, table = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.find_passages(docs, table, max_item_bytes=1000)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Scan parquet" not in plan  # one pass, however many parts
+    got = found.withColumn("n_hit", decontaminate.words_hit()).collect()
+    want = brute_passages(rows, items, 10)
+    assert Counter(str((r.doc_id, r.n_words, r.n_hit, list(r.item_ids))) for r in got) == want
+    assert sum(len(r.item_ids) > 1 for r in got) > 20
+
+
 def test_decontaminated_texts(spark):
     items = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")
     rows = [(1, "Before, One two; three FOUR after it all goes on."), (2, "one two three four!"), (3, "clean text"), (4, None)]

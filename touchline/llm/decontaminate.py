@@ -6,47 +6,70 @@ there that occurs in some item.  Where that run has at least ``window`` words,
 or contains a whole item of fewer words, the words of the window are hit, and
 the state tells which items have it.
 
+Items are dealt by hash into parts of bounded size.  Tasks build the automaton of
+each part and write it, as flat sorted arrays, to the shared folder, beside one
+index of all parts: which two words are neighbours in some item, and in which
+part.  Workers map these files, so no item passes through the driver and texts
+are read once, however many items there are.
+
 Most words of a text cannot be part of a run: only stretches in which every two
-neighbours are neighbours in some item, too, are streamed, found by array
-look-ups.  A run ends where such a stretch ends, so nothing is lost.
+neighbours are neighbours in some item of a part, too, are streamed, through
+that part's automaton.  A run ends where such a stretch ends, so nothing is lost.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm import byteblocks
-from touchline.llm.shared import append_columns, packed, unpacked
-from touchline.runtime import written_table
+from touchline.llm.shared import append_columns, blob_rows, mix64, packed, unpacked
+from touchline.llm.shared_files import mapped, write_arrays
+from touchline.runtime import scratch_path
 
 WINDOW = 10
-#: Item texts of one automaton; more items are searched for in several passes.
+#: Item texts of one automaton; a longer item has one of its own.
 MAX_ITEM_BYTES = 1 << 20
 #: A text loses its hit spans; if they hold a larger share of its words, it goes as a whole.
 MAX_COVERAGE = 0.5
 SPAN = "array<struct<begin:int,end:int>>"
 FIELDS = [("n_words", "long"), ("word_spans", SPAN), ("byte_spans", SPAN), ("item_ids", "array<string>")]
 _SPAN_TYPE = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+#: What makes the key of an item of one word differ from those of neighbours.
+_ALONE = np.uint64(0xA0761D6478BD642F)
+_KEY = np.dtype([("key", "<u8"), ("part", "<u4")])
+#: Arrays of an automaton's file, behind their lengths.
+_ARRAYS = [("vocabulary", "<u8"), ("first", "<i8"), ("words", "<i8"), ("next", "<i8"), ("link", "<i8"), ("length", "<i8"),
+           ("window_first", "<i8"), ("window_items", "<i8"), ("whole_first", "<i8"), ("whole_items", "<i8"), ("whole_words", "<i8"),
+           ("id_first", "<i8"), ("ids", "<u1")]
 
 
-class ItemAutomaton:
-    """Suffix automaton of items; word ids are places in ``vocabulary``, the sorted word hashes."""
+def _neighbour_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key of each two words that follow each other."""
+    return mix64(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]) if len(hashes) > 1 else np.zeros(0, np.uint64)
+
 
-    def __init__(self, item_ids: list[str], texts: list[str], window: int = WINDOW):
+def _alone_keys(hashes: np.ndarray) -> np.ndarray:
+    return mix64(hashes ^ _ALONE) if len(hashes) else np.zeros(0, np.uint64)
+
+
+class _Builder:
+    """Suffix automaton of the items of a part; word ids are places in ``vocabulary``, the sorted word hashes."""
+
+    def __init__(self, texts: list[str], window: int):
         self.window = window
-        hashes = []
+        self.hashes = []
         for block in byteblocks.blocks(pa.array(texts, pa.string())):
             found = byteblocks.words(block, byteblocks.ALNUM_ONLY)
-            hashes += [found.hashes[a:b] for a, b in zip(found.rows[:-1], found.rows[1:])]
-        self.vocabulary = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
-        self.item_ids = item_ids
-        items = [np.searchsorted(self.vocabulary, h).tolist() for h in hashes]
-        pairs = {a * len(self.vocabulary) + b for item in items for a, b in zip(item, item[1:])}
-        self.pairs = np.array(sorted(pairs), np.int64)
-        self.shortest = min((min(len(item), window) for item in items if item), default=0)
+            self.hashes += [found.hashes[a:b] for a, b in zip(found.rows[:-1], found.rows[1:])]
+        self.vocabulary = np.unique(np.concatenate(self.hashes)) if self.hashes else np.zeros(0, np.uint64)
+        items = [np.searchsorted(self.vocabulary, h).tolist() for h in self.hashes]
         self.steps, self.link, self.length = [{}], [-1], [0]
         for item in items:
             state = 0
@@ -62,7 +85,6 @@ class ItemAutomaton:
                     self.windows.setdefault(self._holder(state, window), set()).add(number)
             if 0 < len(item) < window:
                 self.wholes.setdefault(self._holder(state, len(item)), set()).add((number, len(item)))
-        self.found: dict[tuple[int, int], tuple[int, frozenset[int]]] = {}  # what ends at a state, as met
 
     def _extend(self, last: int, word: int) -> int:
         steps, link, length = self.steps, self.link, self.length
@@ -103,142 +125,251 @@ class ItemAutomaton:
             state = self.link[state]
         return state
 
-    def _hits(self, state: int, full: bool, length: int) -> tuple[int, frozenset[int]]:
-        """Words hit before here, and the items; ``length`` is the matched run's, ``full`` if a window fits."""
-        reach, items = 0, set()
-        if full:
-            reach = self.window
-            items |= self.windows[self._holder(state, self.window)]
-        at = state
+    def keys(self) -> np.ndarray:
+        """Of all neighbours, and of the items of one word."""
+        return np.unique(np.concatenate([np.zeros(0, np.uint64), *map(_neighbour_keys, self.hashes), *[_alone_keys(h) for h in self.hashes if len(h) == 1]]))
+
+    def arrays(self, item_ids: list[str]) -> list[np.ndarray]:
+        """The automaton as flat arrays, each state's words and items one after another in order."""
+        states = range(len(self.link))
+        words = [sorted(step) for step in self.steps]
+        windows = [sorted(self.windows.get(state, ())) for state in states]
+        wholes = [sorted(self.wholes.get(state, ())) for state in states]
+        ids = [i.encode() for i in item_ids]
+        flat = {
+            "vocabulary": self.vocabulary, "first": _firsts(words), "words": _flat(words),
+            "next": np.array([step[w] for step, own in zip(self.steps, words) for w in own], np.int64), "link": self.link, "length": self.length,
+            "window_first": _firsts(windows), "window_items": _flat(windows), "whole_first": _firsts(wholes),
+            "whole_items": _flat([[i for i, _ in w] for w in wholes]), "whole_words": _flat([[n for _, n in w] for w in wholes]),
+            "id_first": _firsts(ids), "ids": np.frombuffer(b"".join(ids), np.uint8)}
+        parts = [np.asarray(flat[name], kind) for name, kind in _ARRAYS]
+        return [np.array([len(x) for x in parts], "<i8"), *parts]
+
+
+def _firsts(lists: list) -> np.ndarray:
+    return np.cumsum([0] + [len(x) for x in lists])
+
+
+def _flat(lists: list) -> np.ndarray:
+    return np.array([x for own in lists for x in own], np.int64)
+
+
+class ItemAutomaton:
+    """The automaton of one part, mapped from its file."""
+
+    def __init__(self, path: str, window: int):
+        self.window = window
+        raw = mapped(path)
+        sizes, start = raw[: 8 * len(_ARRAYS)].view("<i8").tolist(), 8 * len(_ARRAYS)
+        arrays = {}
+        for (name, kind), size in zip(_ARRAYS, sizes):
+            end = start + size * np.dtype(kind).itemsize
+            arrays[name] = raw[start:end].view(kind)
+            start = end
+        self.vocabulary = arrays["vocabulary"]
+        # Single numbers come faster from a memory view than from an array.
+        self.flat = {name: memoryview(arrays[name]) for name, _ in _ARRAYS[1:]}
+        self.found: dict[tuple[int, int], tuple[int, frozenset[str]]] = {}  # what ends at a state, as met
+
+    def word_ids(self, hashes: np.ndarray) -> list[int]:
+        place = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[place] == hashes, place, -1).tolist()
+
+    def _item_id(self, number: int) -> str:
+        first = self.flat["id_first"]
+        return bytes(self.flat["ids"][first[number]: first[number + 1]]).decode()
+
+    def _hits(self, state: int, length: int) -> tuple[int, frozenset[str]]:
+        """Words hit before here, and the items; ``length`` is the matched run's, the window's at most."""
+        link, lengths, reach, items = self.flat["link"], self.flat["length"], 0, set()
+        if length >= self.window:
+            reach, at, first = self.window, state, self.flat["window_first"]
+            while lengths[link[at]] >= self.window:
+                at = link[at]
+            items.update(self.flat["window_items"][first[at]: first[at + 1]])
+        at, first = state, self.flat["whole_first"]
         while at > 0:
-            for number, words in self.wholes.get(at, ()):
+            for k in range(first[at], first[at + 1]):
+                words = self.flat["whole_words"][k]
                 if words <= length:
                     reach = max(reach, words)
-                    items.add(number)
-            at = self.link[at]
-        return reach, frozenset(items)
+                    items.add(self.flat["whole_items"][k])
+            at = link[at]
+        return reach, frozenset(map(self._item_id, items))
 
-    def stream(self, words: list[int]):
+    def stream(self, ids: list[int]) -> Iterator[tuple[int, int, frozenset[str]]]:
         """(place of the last word, words hit, items) wherever something ends."""
-        steps, link, length, window = self.steps, self.link, self.length, self.window
+        first, words, following, link, length = (self.flat[name] for name in ("first", "words", "next", "link", "length"))
         state = size = 0
-        for place, word in enumerate(words):
-            while word not in steps[state]:
+        for place, word in enumerate(ids):
+            while True:
+                low, high = first[state], first[state + 1]
+                at = bisect_left(words, word, low, high)
+                if at < high and words[at] == word:
+                    state = following[at]
+                    size += 1
+                    break
+                if state == 0:  # a word that no item has
+                    size = 0
+                    break
                 state = link[state]
                 size = length[state]
-            state = steps[state][word]
-            size += 1
-            key = (state, min(size, window))
+            key = (state, min(size, self.window))
             hits = self.found.get(key)
             if hits is None:
-                hits = self.found[key] = self._hits(state, size >= window, min(size, window))
+                hits = self.found[key] = self._hits(state, min(size, self.window))
             if hits[0]:
                 yield place, hits[0], hits[1]
 
+
+@dataclass
+class Items:
+    """Where the automata of all parts and the index of their neighbours are."""
+
+    folder: str
+    window: int
+    bits: int  # files of the index are the leading bits of keys
+    alone: bool  # whether some item is one word
+    open_parts: dict = field(default_factory=dict, repr=False)
+    open_files: dict = field(default_factory=dict, repr=False)
+
+    def __getstate__(self):
+        return {**self.__dict__, "open_parts": {}, "open_files": {}}
+
+    def part(self, number: int) -> ItemAutomaton:
+        if number not in self.open_parts:
+            self.open_parts[number] = ItemAutomaton(f"{self.folder}/part-{number}", self.window)
+        return self.open_parts[number]
+
+    def _index(self, bucket: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted keys and the part of each; a key of several parts is there for each."""
+        if bucket not in self.open_files:
+            raw = mapped(f"{self.folder}/keys-{bucket}")
+            n = len(raw) // 12
+            self.open_files[bucket] = raw[: 8 * n].view("<u8"), raw[8 * n:].view("<u4")
+        return self.open_files[bucket]
+
+    def _parts_of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among ``keys``, part) for every part that has the key."""
+        order = np.argsort(keys)
+        keys, places, parts = keys[order], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        buckets = (keys >> np.uint64(63 - self.bits) >> np.uint64(1)).astype(np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(keys)]
+        for start, end in zip(cuts, cuts[1:]):
+            if start < end:
+                known, owner = self._index(int(buckets[start]))
+                low = np.searchsorted(known, keys[start:end])
+                n = np.searchsorted(known, keys[start:end], side="right") - low
+                met = np.flatnonzero(n)
+                each = np.repeat(met, n[met])
+                within = np.arange(len(each)) - np.repeat(np.cumsum(n[met]) - n[met], n[met])
+                places.append(order[start + each])
+                parts.append(owner[low[each] + within].astype(np.int64))
+        return np.concatenate(places), np.concatenate(parts)
+
+    def _stretches(self, found: byteblocks.Words) -> Iterator[tuple[int, int, int]]:
+        """(part, first word, word behind) of runs whose neighbours are neighbours in some item of the part, and of words that are an item."""
+        if self.alone:
+            places, parts = self._parts_of(_alone_keys(found.hashes))
+            yield from zip(parts.tolist(), places.tolist(), (places + 1).tolist())
+        inside = np.ones(max(len(found.hashes) - 1, 0), bool)  # both words in one row
+        edges = found.rows[1:-1] - 1
+        inside[edges[(edges >= 0) & (edges < len(inside))]] = False
+        at = np.flatnonzero(inside)
+        places, parts = self._parts_of(_neighbour_keys(found.hashes)[at])
+        places = at[places]
+        order = np.lexsort((places, parts))
+        places, parts = places[order], parts[order]
+        cuts = np.flatnonzero((np.diff(places) != 1) | (np.diff(parts) != 0)) + 1
+        firsts, lasts = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(places)]]) - 1
+        if len(places):
+            yield from zip(parts[firsts].tolist(), places[firsts].tolist(), (places[lasts] + 2).tolist())
+
     def search(self, block: byteblocks.Block):
         """For each row of a block: its number of words, word spans, byte spans and item ids."""
         found = byteblocks.words(block, byteblocks.ALNUM_ONLY)
         row_words = np.diff(found.rows)
         spans: list[list[tuple[int, int]]] = [[] for _ in range(block.rows)]
-        items: list[set[int]] = [set() for _ in range(block.rows)]
-        for begin, end, ids in self._stretches(found):
+        items: list[set[str]] = [set() for _ in range(block.rows)]
+        for number, begin, end in self._stretches(found):
             row = int(np.searchsorted(found.rows, begin, side="right")) - 1
-            for place, reach, numbers in self.stream(ids):
+            part = self.part(number)
+            for place, reach, ids in part.stream(part.word_ids(found.hashes[begin:end])):
                 last = begin + place + 1
-                first = last - reach
-                # A longer window may reach back over several spans.
-                while spans[row] and spans[row][-1][1] > first:
-                    first = min(first, spans[row].pop()[0])
-                spans[row].append((first, last))
-                items[row] |= numbers
+                _add(spans[row], last - reach, last)
+                items[row] |= ids
         for row in range(block.rows):
-            base, low = int(found.rows[row]), int(block.offsets[row])
+            base, low, own = int(found.rows[row]), int(block.offsets[row]), []
+            for first, last in sorted(spans[row]):  # parts come one after another
+                if own and own[-1][1] > first:
+                    first, last = own[-1][0], max(own.pop()[1], last)
+                own.append((first, last))
             yield (int(row_words[row]),
-                   [{"begin": a - base, "end": b - base} for a, b in spans[row]],
-                   [{"begin": int(found.starts[a]) - low, "end": int(found.ends[b - 1]) - low} for a, b in spans[row]],
-                   sorted({self.item_ids[n] for n in items[row]}))
-
-    def _stretches(self, found: byteblocks.Words):
-        """Runs of at least ``shortest`` words whose neighbours are neighbours in some item."""
-        n, size = len(found.hashes), len(self.vocabulary)
-        if not n or not size:
-            return
-        ids = np.minimum(np.searchsorted(self.vocabulary, found.hashes), size - 1)
-        known = self.vocabulary[ids] == found.hashes
-        joined = np.zeros(n, bool)  # with the word before
-        joined[1:] = known[1:] & known[:-1]
-        firsts = found.rows[:-1]
-        joined[firsts[firsts < n]] = False
-        both = np.flatnonzero(joined)
-        if len(self.pairs):
-            code = ids[both - 1] * size + ids[both]
-            place = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
-            joined[both[self.pairs[place] != code]] = False
-        else:
-            joined[:] = False
-        cuts = np.append(np.flatnonzero(~joined), n)
-        begins, ends = cuts[:-1], cuts[1:]
-        good = known[begins] & (ends - begins >= self.shortest)
-        for begin, end in zip(begins[good].tolist(), ends[good].tolist()):
-            yield begin, end, ids[begin:end].tolist()
-
-
-def _item_chunks(items: DataFrame, item_id: str, text: str, max_bytes: int):
-    """Lists of (id, text) of bounded size, one after another; items without id or text are left out."""
-    usable = items.select(F.col(item_id).cast("string").alias("id"), F.col(text).alias("text")).dropna()
-    total = usable.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(1, -(-total // max_bytes))
-    for chunk in range(chunks):
-        rows = usable.filter(F.pmod(F.xxhash64("id"), F.lit(chunks)) == chunk).orderBy("id", "text").collect()
-        yield [r["id"] for r in rows], [r["text"] for r in rows], chunks
+                   [{"begin": a - base, "end": b - base} for a, b in own],
+                   [{"begin": int(found.starts[a]) - low, "end": int(found.ends[b - 1]) - low} for a, b in own],
+                   sorted(items[row]))
 
 
-def _merged(spans: Column) -> Column:
-    """Overlapping spans of a sorted array as one."""
+def _add(spans: list[tuple[int, int]], first: int, last: int) -> None:
+    """A span that ends behind those added from the same stretch before; a longer window may reach back over several."""
+    while spans and first < spans[-1][1] <= last:
+        first = min(first, spans.pop()[0])
+    spans.append((first, last))
 
-    def add(done: Column, span: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        longer = F.struct(last["begin"].alias("begin"), F.greatest(last["end"], span["end"]).alias("end"))
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))
-        return F.when(last["end"] > span["begin"], joined).otherwise(F.concat(done, F.array(span)))
 
-    return F.aggregate(F.array_sort(spans), F.array().cast(SPAN), add)
+def index_items(items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW, max_item_bytes: int = MAX_ITEM_BYTES) -> Items | None:
+    """Automata of all items with an id and a text, written by Spark's tasks; None if there are none."""
+    usable = items.select(F.col(item_id).cast("string").alias("id"), F.col(text).alias("text")).dropna()
+    total = usable.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if not total:
+        return None
+    count = -(-total // max_item_bytes)
+    bits = (count - 1).bit_length()
+    folder = scratch_path(items.sparkSession, "items")
+
+    def build(table: pa.Table) -> pa.Table:
+        number = table["part"][0].as_py()
+        table = table.sort_by([("id", "ascending"), ("text", "ascending")])
+        automaton = _Builder(table["text"].to_pylist(), window)
+        write_arrays(f"{folder}/part-{number}", automaton.arrays(table["id"].to_pylist()))
+        keys = np.zeros(len(automaton.keys()), _KEY)
+        keys["key"], keys["part"] = automaton.keys(), number
+        rows = list(blob_rows((keys["key"] >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64), keys)) or [(0, b"")]
+        alone = any(len(h) == 1 for h in automaton.hashes)
+        return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int64()), "alone": [alone] * len(rows), "keys": pa.array([k for _, k in rows], pa.binary())})
+
+    def write(table: pa.Table) -> pa.Table:
+        bucket = table["bucket"][0].as_py()
+        keys = np.sort(np.concatenate([np.frombuffer(k.as_buffer(), _KEY) for chunk in table["keys"].chunks for k in chunk]), order=["key", "part"])
+        write_arrays(f"{folder}/keys-{bucket}", [keys["key"], keys["part"]])
+        return pa.table({"alone": [any(table["alone"].to_pylist())]})
+
+    dealt = usable.distinct().withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(count)))
+    built = dealt.groupBy("part").applyInArrow(build, "bucket long, alone boolean, keys binary")
+    written = built.groupBy("bucket").applyInArrow(write, "alone boolean")
+    return Items(folder, window, bits, bool(written.agg(F.max("alone")).first()[0]))
 
 
 def find_passages(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
                   window: int = WINDOW, max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
     """Adds n_words, word_spans and byte_spans (hit, half-open, ascending) and item_ids (sorted).
 
-    A null text has no words.  Items of the same id count once.  Columns of
-    these names are replaced.
+    A null text has no words.  Items without id or text are left out, those of
+    the same id count once.  Columns of these names are replaced.
     """
-    out = docs.drop(*[name for name, _ in FIELDS])
-    for number, (ids, texts, chunks) in enumerate(_item_chunks(items, item_id, item_text, max_item_bytes)):
-        shared = docs.sparkSession.sparkContext.broadcast((ids, texts, window))
-        suffix = "" if chunks == 1 else f"__{number}"
-
-        def start(shared=shared):
-            automaton = ItemAutomaton(*shared.value)
-
-            def compute(column: pa.Array) -> list:
-                rows = [row for block in byteblocks.blocks(column) for row in automaton.search(block)]
-                words, spans, places, found = zip(*rows)
-                return [pa.array(words, pa.int64()), pa.array(spans, _SPAN_TYPE), pa.array(places, _SPAN_TYPE), pa.array(found, pa.list_(pa.string()))]
-
-            return compute
-
-        out = append_columns(out, text, [(name + suffix, kind) for name, kind in FIELDS], start)
-        if chunks > 1:
-            out = written_table(out, "passages")  # one automaton at a time in a worker
-    if chunks == 1:
-        return out
-    parts = {name: [F.col(f"{name}__{n}") for n in range(chunks)] for name, _ in FIELDS}
-    return out.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in parts],
-        parts["n_words"][0].alias("n_words"),
-        _merged(F.concat(*parts["word_spans"])).alias("word_spans"),
-        _merged(F.concat(*parts["byte_spans"])).alias("byte_spans"),
-        F.array_sort(F.array_distinct(F.concat(*parts["item_ids"]))).alias("item_ids"))
+    shared = docs.sparkSession.sparkContext.broadcast(index_items(items, item_id, item_text, window, max_item_bytes))
+
+    def start():
+        known = shared.value or Items("", window, 0, False, open_files={0: (np.zeros(0, np.uint64), np.zeros(0, np.uint32))})
+
+        def compute(column: pa.Array) -> list:
+            rows = [row for block in byteblocks.blocks(column) for row in known.search(block)]
+            words, spans, places, found = zip(*rows)
+            return [pa.array(words, pa.int64()), pa.array(spans, _SPAN_TYPE), pa.array(places, _SPAN_TYPE), pa.array(found, pa.list_(pa.string()))]
+
+        return compute
+
+    return append_columns(docs, text, FIELDS, start)
 
 
 def words_hit(spans: str = "word_spans") -> Column:
