@@ -220,6 +220,39 @@ def test_spliced_ids_are_those_of_the_library(spark):
     assert token_counts.token_ids(docs, WORD_BPE, chunk=700, overlap=8).first().token_ids == ids
 
 
+SPACELESS = {
+    "chinese": list("的一是不了人我在有他，。！"), "kana": list("かがはバ゙。ッ、"), "base64": list("ABCXYZabcxyz0189+/="), "one word": list("abcdefgh"),
+    "special": ["a", "<|endoftext|>", "1", "'s", "'", "t2", "<", "<|", "endoftext", "|>", "é", "e\u0301", "Σ."],
+}
+
+
+@pytest.mark.parametrize("kind", SPACELESS)
+@pytest.mark.parametrize("chunk,overlap", [(49152, 512), (64, 4)])
+def test_texts_without_white_space(kind, chunk, overlap):
+    tokenizer, library, rng = token_counts.load(WORD_BPE), tokenizers.Tokenizer.from_file(WORD_BPE), random.Random(11)
+    for size in (60_000, 130_000) if chunk > 1000 else (100, 300, 1500):
+        text = "".join(rng.choices(SPACELESS[kind], k=size))
+        assert tokenizer.encode_huge(text, chunk, overlap).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_chunks_without_a_boundary_are_encoded_a_few_times_only(monkeypatch):
+    tokenizer, text, read = token_counts.load(WORD_BPE), "abcdefgh" * 40_000, []
+    encode = tokenizer.encode
+    monkeypatch.setattr(tokenizer, "encode", lambda part: read.append(len(part)) or encode(part))
+    tokenizer.encode_huge(text, 1000, 50)
+    assert sum(read) < 3 * len(text)
+
+
+def test_token_counts_edges(spark):
+    long = "word, wörd; " * 9000 + "的一。" * 20_000
+    rows = [(1, None), (1, None), (None, "a b"), (2, ""), (3, long), (3, long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("over_limit", F.lit("old"))
+    n = len(tokenizers.Tokenizer.from_file(WORD_BPE).encode(long, add_special_tokens=False))
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.token_counts(docs, WORD_BPE).collect())
+    assert got == [(0, 3, 2, False), (1, 0, 0, False), (1, 0, 0, False), (2, 0, 0, False), *[(3, len(long.encode()), n, True)] * 2]
+    assert token_counts.token_counts(docs.limit(0), WORD_BPE).count() == 0
+
+
 def test_token_counts_refuse_other_tokenizers():
     with pytest.raises(ValueError):
         token_counts.StableTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
@@ -227,6 +260,15 @@ def test_token_counts_refuse_other_tokenizers():
 
 # Pieces
 
+def test_pieces_of_a_long_text_without_spaces(spark):
+    text = "".join(random.Random(3).choices("etaoinshrdlu", k=100_000))
+    row = piece_codec.encoded_digests(spark.createDataFrame([(None, text)], "doc_id long, text string"), PIECE_BPE).first()
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
+    ids = library.encode(text, add_bos=True, add_eos=True)
+    assert row.doc_id is None and row.n_tokens == len(ids)
+    assert row.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+
+
 def test_pieces_are_those_of_the_library(spark):
     texts = odd_texts() + [t for (t,) in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("ids_sha256", F.lit("old"))

@@ -4,11 +4,16 @@ A boundary between an ASCII white-space character and what follows is *stable*
 for a tokenizer that drops white space and whose normaliser, special tokens and
 pre-tokenizer never look across it: what stands on either side is then encoded
 alike with or without the other side.  ``StableTokenizer`` refuses files whose
-parts are not of the kinds for which this holds.
+parts are not of the kinds for which this holds.  So is a *turn* between letters,
+digits and punctuation of which no character can join its neighbour when text is
+composed (ASCII; Chinese and Japanese letters and punctuation), as the pattern
+puts no two of these kinds, nor two digits, into one piece: but for letters
+behind an apostrophe, and where a special token might reach across.
 
 * Huge texts are encoded in overlapping chunks with offsets.  In each overlap
   the last stable boundary at which both encodings have the same tokens around
-  it is the seam; if there is none, the overlap is doubled.
+  it is the seam; an overlap without a stable boundary is doubled until it has
+  one, and a chunk without any is doubled, too, so time grows with the text.
 * Other texts are sums over their words, cut at stable boundaries; each
   different word (by a 64-bit hash of its bytes) is encoded once a task.
 """
@@ -38,6 +43,10 @@ CALL_WORDS = 20_000
 FIELDS = [("n_bytes", "long"), ("n_tokens", "long"), ("over_limit", "boolean")]
 
 _STABLE = re.compile("[\x20\x09-\x0d]+")
+#: Letters, digits and punctuation that composition (NFC) leaves apart; kana may be voiced by what follows, which stays with them.
+_LETTER, _DIGIT = "A-Za-z\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff", "0-9"
+_MARK = "!-&(-/:-@\\[-`{-~\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f"  # all but the apostrophe
+_TURN = re.compile(f"(?<=[{_LETTER}])(?=[{_DIGIT}{_MARK}'])|(?<=[{_DIGIT}])(?=[{_LETTER}{_DIGIT}{_MARK}'])|(?<=[{_MARK}])(?=[{_LETTER}{_DIGIT}])|(?<=')(?=[{_DIGIT}])")
 #: Punctuation that is split off the end of a word where it follows an ASCII letter or digit.
 _TRAILING = np.isin(np.arange(256), list(b".,;:!?"))
 _ALNUM = np.array([b < 0x80 and chr(b).isalnum() for b in range(256)])
@@ -63,6 +72,7 @@ class StableTokenizer:
         )
         if not fine:
             raise ValueError("a tokenizer without stable boundaries at white space")
+        self.longest_special = max(map(len, special), default=0)
         self.library.no_truncation()
         self.library.no_padding()
 
@@ -85,19 +95,21 @@ class StableTokenizer:
         begin, end, since = 0, chunk, 0  # since: the last seam
         ids, starts = self.encode(text[:end])
         while end < len(text):
-            wide = min(overlap, end - begin)
-            while True:
+            seam, wide = None, min(overlap, end - begin)
+            while (stops := self.stable(text, max(end - wide, since), end)) is None and end - wide > max(begin, since):
+                wide = min(2 * wide, end - begin)
+            while stops is not None:
                 next_begin, next_end = end - wide, min(len(text), end - wide + max(chunk, 2 * wide))
                 next_ids, next_starts = self.encode(text[next_begin:next_end])
-                seam = _seam(text, since, (ids, starts, begin), (next_ids, next_starts, next_begin), end)
-                if seam is not None or next_begin <= begin:
+                seam = _seam(stops, (ids, starts, begin), (next_ids, next_starts, next_begin))
+                if seam is not None or next_begin <= max(begin, since):
                     break
                 wide = min(2 * wide, end - begin)
-            if seam is None:  # no stable boundary in all of this chunk: encode it as one with the next
-                end = min(len(text), end + chunk)
-                ids, starts = self.encode(text[begin:end])
-                keep = starts + begin >= since
-                ids, starts = ids[keep], starts[keep]
+                stops = self.stable(text, max(end - wide, since), end)
+            if seam is None:  # no stable boundary in all of this chunk: one of twice the length
+                end = min(len(text), end + max(chunk, end - since))
+                ids, starts = self.encode(text[since:end])
+                begin = since
                 continue
             done.append(ids[starts + begin < seam])
             # Later seams lie behind this one, so what stands before it may go.
@@ -105,6 +117,19 @@ class StableTokenizer:
             ids, starts, begin, end, since = next_ids[keep], next_starts[keep], next_begin, next_end, seam
         return np.concatenate([*done, ids])
 
+    def stable(self, text: str, low: int, high: int) -> tuple[int, int] | None:
+        """The first and last stable boundary from ``low`` on, before ``high``; at ``high`` white space may go on."""
+        first = last = None
+        for pattern in (_STABLE, _TURN):
+            for met in pattern.finditer(text, low, high):
+                at = met.end()
+                # A special token begins with "<" and might reach across a turn.
+                if at == high or pattern is _TURN and "<" in text[max(at - self.longest_special, 0): at]:
+                    continue
+                first = at if first is None else min(first, at)
+                last = at if last is None else max(last, at)
+        return None if first is None else (first, last)
+
 
 def _parts(part: dict | None, name: str) -> list[dict]:
     if part is None:
@@ -112,18 +137,15 @@ def _parts(part: dict | None, name: str) -> list[dict]:
     return part[name] if part["type"] == "Sequence" else [part]
 
 
-def _seam(text: str, since: int, left, right, end: int) -> int | None:
-    """The last stable boundary of the overlap before which both sides have equal tokens; behind the seam ``since``."""
+def _seam(stops: tuple[int, int], left, right) -> int | None:
+    """The last of these stable boundaries if both sides have equal tokens from the first one on."""
     ids, starts, begin = left
     next_ids, next_starts, next_begin = right
-    stops = [m.end() for m in _STABLE.finditer(text, max(next_begin, since), end)]
-    if stops and stops[-1] == end:
-        stops.pop()  # the white space may go on behind the chunk
-    for first, last in ((stops[0], stops[-1]),) if stops else ():
-        mine = (starts + begin >= first) & (starts + begin < last)
-        theirs = (next_starts + next_begin >= first) & (next_starts + next_begin < last)
-        if np.array_equal(ids[mine], next_ids[theirs]) and np.array_equal(starts[mine] + begin, next_starts[theirs] + next_begin):
-            return last
+    first, last = stops
+    mine = (starts + begin >= first) & (starts + begin < last)
+    theirs = (next_starts + next_begin >= first) & (next_starts + next_begin < last)
+    if np.array_equal(ids[mine], next_ids[theirs]) and np.array_equal(starts[mine] + begin, next_starts[theirs] + next_begin):
+        return last
     return None
 
 
@@ -200,7 +222,11 @@ def count_texts(tokenizer: StableTokenizer, memo: WordCounts, column: pa.Array,
 
 def token_counts(docs: DataFrame, path: str, text: str = "text", limit: int = LIMIT, chunk: int = CHUNK, overlap: int = OVERLAP,
                  keep_text: bool = False) -> DataFrame:
-    """Adds n_bytes, n_tokens and over_limit (n_tokens > limit); a null text counts as empty."""
+    """Adds n_bytes, n_tokens and over_limit (n_tokens > limit); a null text counts as empty.
+
+    Every row is counted by itself, so repeated rows and null keys stay as they
+    are; a column with the name of a new one is replaced.
+    """
 
     def start():
         tokenizer = load(path)
