@@ -86,6 +86,20 @@ def test_vectors_of_every_length_link(spark):
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == brute_vectors(rows)
 
 
+def test_a_third_of_all_vectors_equal(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "fits", lambda groups: False)
+    monkeypatch.setattr(vector_dedup, "HOT_COPIES", 20)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(40, 16)).astype(np.float32)
+    near = [(base[i % 40] + rng.normal(size=16) * 0.15).astype(np.float32).tolist() for i in range(120)]
+    rows = dict(enumerate([*near, *[base[0].tolist()] * 100, *[base[1].tolist()] * 5, *base.tolist()]))
+    table = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<float>")
+    got = vector_dedup.near_duplicates(table, block_members=30, block_visitors=50).collect()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == brute_vectors(rows)
+    groups = vector_dedup._deal(np.array([5, 20, 9, 90, 3]), np.array([5, 25, 34, 120, 127]), 30, 50)
+    assert groups.first.tolist() == [0, 2, 3, 4, 5] and groups.members.tolist() == [1, 1, 3, 1] and groups.visitors.tolist() == [1, 1, 3, 3]
+
+
 def test_vectors_without_any_usable(spark):
     table = spark.createDataFrame([(1, None), (2, [0.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in vector_dedup.near_duplicates(table).orderBy("vec_id").collect()] == [(1, 0, 1, True), (2, 0, 2, True)]
