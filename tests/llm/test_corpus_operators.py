@@ -222,7 +222,7 @@ def brute_passages(rows, items, window):
 
 
 @pytest.mark.parametrize("options", [{}, {"max_item_bytes": 60}])
-@pytest.mark.parametrize("window", [3, 4])
+@pytest.mark.parametrize("window", [1, 3, 4])
 def test_passages_match_brute_force(spark, window, options):
     rng = random.Random(window)
     text = lambda n: " ".join(rng.choice("abcd") for _ in range(n))

@@ -126,8 +126,8 @@ class _Builder:
         return state
 
     def keys(self) -> np.ndarray:
-        """Of all neighbours, and of the items of one word."""
-        return np.unique(np.concatenate([np.zeros(0, np.uint64), *map(_neighbour_keys, self.hashes), *[_alone_keys(h) for h in self.hashes if len(h) == 1]]))
+        """Of all neighbours, and of windows of one word."""
+        return np.unique(np.concatenate([np.zeros(0, np.uint64), *map(_neighbour_keys, self.hashes), *[_alone_keys(h) for h in self.hashes if min(len(h), self.window) == 1]]))
 
     def arrays(self, item_ids: list[str]) -> list[np.ndarray]:
         """The automaton as flat arrays, each state's words and items one after another in order."""
@@ -229,7 +229,8 @@ class Items:
     folder: str
     window: int
     bits: int  # files of the index are the leading bits of keys
-    alone: bool  # whether some item is one word
+    alone: bool  # whether some window is one word
+    shortest: int  # words of a window of the other ones, at least
     open_parts: dict = field(default_factory=dict, repr=False)
     open_files: dict = field(default_factory=dict, repr=False)
 
@@ -251,24 +252,26 @@ class Items:
 
     def _parts_of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place among ``keys``, part) for every part that has the key."""
-        order = np.argsort(keys)
+        order = np.argsort(keys) if self.bits else np.arange(len(keys))
         keys, places, parts = keys[order], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         buckets = (keys >> np.uint64(63 - self.bits) >> np.uint64(1)).astype(np.int64)
         cuts = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(keys)]
         for start, end in zip(cuts, cuts[1:]):
             if start < end:
                 known, owner = self._index(int(buckets[start]))
+                if not len(known):
+                    continue
                 low = np.searchsorted(known, keys[start:end])
-                n = np.searchsorted(known, keys[start:end], side="right") - low
-                met = np.flatnonzero(n)
-                each = np.repeat(met, n[met])
-                within = np.arange(len(each)) - np.repeat(np.cumsum(n[met]) - n[met], n[met])
-                places.append(order[start + each])
-                parts.append(owner[low[each] + within].astype(np.int64))
+                met = np.flatnonzero(known[np.minimum(low, len(known) - 1)] == keys[start:end])
+                low = low[met]
+                n = np.searchsorted(known, keys[start:end][met], side="right") - low
+                within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                places.append(order[start + np.repeat(met, n)])
+                parts.append(owner[np.repeat(low, n) + within].astype(np.int64))
         return np.concatenate(places), np.concatenate(parts)
 
     def _stretches(self, found: byteblocks.Words) -> Iterator[tuple[int, int, int]]:
-        """(part, first word, word behind) of runs whose neighbours are neighbours in some item of the part, and of words that are an item."""
+        """(part, first word, word behind) of runs, long enough for a window, whose neighbours are neighbours in some item of the part, and of words that are a window."""
         if self.alone:
             places, parts = self._parts_of(_alone_keys(found.hashes))
             yield from zip(parts.tolist(), places.tolist(), (places + 1).tolist())
@@ -283,6 +286,8 @@ class Items:
         cuts = np.flatnonzero((np.diff(places) != 1) | (np.diff(parts) != 0)) + 1
         firsts, lasts = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(places)]]) - 1
         if len(places):
+            long = lasts - firsts + 2 >= self.shortest
+            firsts, lasts = firsts[long], lasts[long]
             yield from zip(parts[firsts].tolist(), places[firsts].tolist(), (places[lasts] + 2).tolist())
 
     def search(self, block: byteblocks.Block):
@@ -335,19 +340,21 @@ def index_items(items: DataFrame, item_id: str = "item_id", text: str = "text",
         keys = np.zeros(len(automaton.keys()), _KEY)
         keys["key"], keys["part"] = automaton.keys(), number
         rows = list(blob_rows((keys["key"] >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64), keys)) or [(0, b"")]
-        alone = any(len(h) == 1 for h in automaton.hashes)
-        return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int64()), "alone": [alone] * len(rows), "keys": pa.array([k for _, k in rows], pa.binary())})
+        words = [len(h) for h in automaton.hashes]
+        shortest = min((min(n, window) for n in words if n > 1), default=window)
+        return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int64()), "alone": [any(min(n, window) == 1 for n in words)] * len(rows), "shortest": pa.array([shortest] * len(rows), pa.int64()),
+                         "keys": pa.array([k for _, k in rows], pa.binary())})
 
     def write(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
         keys = np.sort(np.concatenate([np.frombuffer(k.as_buffer(), _KEY) for chunk in table["keys"].chunks for k in chunk]), order=["key", "part"])
         write_arrays(f"{folder}/keys-{bucket}", [keys["key"], keys["part"]])
-        return pa.table({"alone": [any(table["alone"].to_pylist())]})
+        return pa.table({"alone": [any(table["alone"].to_pylist())], "shortest": pa.array([min(table["shortest"].to_pylist())], pa.int64())})
 
     dealt = usable.distinct().withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(count)))
-    built = dealt.groupBy("part").applyInArrow(build, "bucket long, alone boolean, keys binary")
-    written = built.groupBy("bucket").applyInArrow(write, "alone boolean")
-    return Items(folder, window, bits, bool(written.agg(F.max("alone")).first()[0]))
+    built = dealt.groupBy("part").applyInArrow(build, "bucket long, alone boolean, shortest long, keys binary")
+    written = built.groupBy("bucket").applyInArrow(write, "alone boolean, shortest long")
+    return Items(folder, window, bits, *written.agg(F.max("alone"), F.min("shortest")).first())
 
 
 def find_passages(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
@@ -360,7 +367,7 @@ def find_passages(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     shared = docs.sparkSession.sparkContext.broadcast(index_items(items, item_id, item_text, window, max_item_bytes))
 
     def start():
-        known = shared.value or Items("", window, 0, False, open_files={0: (np.zeros(0, np.uint64), np.zeros(0, np.uint32))})
+        known = shared.value or Items("", window, 0, False, window, open_files={0: (np.zeros(0, np.uint64), np.zeros(0, np.uint32))})
 
         def compute(column: pa.Array) -> list:
             rows = [row for block in byteblocks.blocks(column) for row in known.search(block)]
