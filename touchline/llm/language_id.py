@@ -32,8 +32,6 @@ from touchline.llm.shared import append_columns
 
 UNDETERMINED = "und"
 ORDER = 3
-#: Training texts of one language; they are those with the smallest hashes of their keys.
-MAX_TEXTS = 1500
 #: The longest contexts that fit in the integers of grams and context codes.
 MOST_ORDER = 5
 #: Context codes up to this are looked up in a table of all, larger ones by search.
@@ -140,23 +138,19 @@ def training_grams(texts: DataFrame, order: int) -> DataFrame:
     return grams.groupBy("lang", "length", "gram").agg(F.sum("n").alias("n"))
 
 
-def _sample(docs: DataFrame, key: str, text: str, lang: str, learn, max_texts: int) -> DataFrame:
-    """At most about ``max_texts`` rows of each language, by the hash of their keys."""
-    usable = docs.filter(learn & F.col(text).isNotNull() & F.col(lang).isNotNull())
-    per_lang = {r[0]: r[1] for r in usable.groupBy(lang).count().collect()}
-    share = F.create_map(*[F.lit(x) for name, n in per_lang.items() for x in (name, min(1.0, max_texts / n))]) if per_lang else None
-    if share is None:
-        return usable.limit(0).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    spread = F.pmod(F.xxhash64(F.lit(10), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
-    return usable.filter(spread < share[F.col(lang)]).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+def _usable(docs: DataFrame, text: str, lang: str, learn) -> DataFrame:
+    """text and lang of all rows to learn from."""
+    return docs.filter(learn & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
 
 
-def fit(docs: DataFrame, learn, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER,
-        max_texts: int = MAX_TEXTS) -> ByteModel | None:
-    """Trees of contexts of up to ``order`` bytes from the rows where ``learn`` holds; None if there are none."""
+def fit(docs: DataFrame, learn, text: str = "text", lang: str = "lang", order: int = ORDER) -> ByteModel | None:
+    """Trees of contexts of up to ``order`` bytes from all rows where ``learn`` holds; None if there are none.
+
+    Spark counts; what comes to the driver is one row for each different gram of a language.
+    """
     if not 0 <= order <= MOST_ORDER:
         raise ValueError(f"contexts have 0 to {MOST_ORDER} bytes")
-    rows = training_grams(_sample(docs, key, text, lang, learn, max_texts), order).toArrow()
+    rows = training_grams(_usable(docs, text, lang, learn), order).toArrow()
     if rows.num_rows == 0:
         return None
     return build(rows["lang"], rows["length"].to_numpy(), rows["gram"].to_numpy(), rows["n"].to_numpy(), order)
@@ -262,13 +256,13 @@ def predict(docs: DataFrame, model: ByteModel | None, text: str = "text", keep_t
     return append_columns(docs, text, FIELDS, start, keep_text)
 
 
-def own_bits(docs: DataFrame, model: ByteModel, learn, key: str = "doc_id", text: str = "text", lang: str = "lang", max_texts: int = MAX_TEXTS) -> dict[str, float]:
+def own_bits(docs: DataFrame, model: ByteModel, learn, text: str = "text", lang: str = "lang") -> dict[str, float]:
     """Bits that a byte of each language's training texts takes in its own tree, on average over their bytes.
 
     What a language should cost, whatever the length of a text; a language none
     of whose texts it wins has no entry.
     """
-    judged = predict(_sample(docs, key, text, lang, learn, max_texts), model)
+    judged = predict(_usable(docs, text, lang, learn), model)
     size = F.octet_length("text")
     won = judged.filter("lang_pred = lang").groupBy("lang").agg((F.sum(F.col("bits_per_byte") * size) / F.sum(size)).alias("bits"))
     return {r["lang"]: r["bits"] for r in won.collect()}
