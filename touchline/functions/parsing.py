@@ -12,9 +12,6 @@ NA_TOKENS = (
     "n/a", "nan", "null",
 )
 
-# Date layouts tried in this order.
-DATE_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "dd/MM/yy")
-
 # The JVM's number parser also takes "12d", "12f" and hexadecimal; text columns do not mean that.
 _JAVA_ONLY_NUMBER = r"(?i)0x|[0-9.][df]\s*$"
 
@@ -28,13 +25,18 @@ def blank_to_null(text: Column) -> Column:
 
 
 def parse_date(text: Column) -> Column:
+    """Date of ``yyyy-MM-dd``, ``dd/MM/yyyy`` or ``dd/MM/yy`` (2000 to 2099), null for other texts and days that do not exist."""
     trimmed = F.trim(text)
-    # Whole-text shapes keep the lenient two-digit-year layout away from four-digit years.
-    iso, long_year, short_year = (F.try_to_timestamp(trimmed, F.lit(f)).cast("date") for f in DATE_FORMATS)
+
+    def iso(century: str, year_digits: int) -> Column:
+        year, month, day = F.substring(trimmed, 7, year_digits), F.substring(trimmed, 4, 2), F.substring(trimmed, 1, 2)
+        return F.concat(F.lit(century), year, F.lit("-"), month, F.lit("-"), day)
+
+    # Whole-text shapes first, then casts: a layout that fails costs an exception a row.
     return (
-        F.when(trimmed.rlike(r"^\d{4}-\d{2}-\d{2}$"), iso)
-        .when(trimmed.rlike(r"^\d{2}/\d{2}/\d{4}$"), long_year)
-        .when(trimmed.rlike(r"^\d{2}/\d{2}/\d{2}$"), short_year)
+        F.when(trimmed.rlike(r"^\d{4}-\d{2}-\d{2}\z"), trimmed.try_cast("date"))
+        .when(trimmed.rlike(r"^\d{2}/\d{2}/\d{4}\z"), iso("", 4).try_cast("date"))
+        .when(trimmed.rlike(r"^\d{2}/\d{2}/\d{2}\z"), iso("20", 2).try_cast("date"))
     )
 
 

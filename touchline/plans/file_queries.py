@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions.match_columns import with_match_features
+from touchline.functions.parsing import parse_date
 from touchline.operators import clean, league
 from touchline.plans.base_sql import CLEAN, MATCHES, RAW, columns, q, stats_cte
 from touchline.plans.registry import Registry
@@ -24,9 +25,7 @@ def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _write_seasons(raw: DataFrame, folder: str) -> None:
     """One file set per year: 1996 with its columns reversed, 1995 without fouls."""
-    year = F.year(F.coalesce(
-        F.try_to_timestamp("Date", F.lit("yyyy-MM-dd")), F.try_to_timestamp("Date", F.lit("dd/MM/yyyy")))).alias("year")
-    rows = raw.select(*MATCH_COLUMNS, year)
+    rows = raw.select(*MATCH_COLUMNS, F.year(parse_date(F.col("Date"))).alias("year"))
     no_fouls = [c for c in MATCH_COLUMNS if c not in ("HF", "AF")]
     rows.where("year = 1996").select(*reversed(MATCH_COLUMNS)).write.csv(f"{folder}/reversed", header=True)
     rows.where("year = 1995").select(*no_fouls).write.csv(f"{folder}/no_fouls", header=True)
