@@ -15,18 +15,26 @@ and d took (by count: 1, 2, 3 or more).  A token that training lacks has n = 0,
 and behind an h that training lacks P is P(w | h').  All probabilities after a h
 add up to 1, one unknown token included.
 
-Training is a chain of aggregations, each over hash buckets of what tasks have
-summed already, so that a word or context with any share of all tokens is spread:
+Training is one aggregation for tokens and one for each length of n-grams, each a job
+over hash buckets of what tasks have summed already, whose shuffle files go before
+the next one starts:
 
 1. tokens: each bucket writes its sorted 64-bit word hashes and their counts;
    a token's id is its place in all buckets;
-2. n-grams of ids, from the full order down to 2: each bucket writes its sorted
-   64-bit hashes (for pairs a bijection) and their counts, below the full order
-   with how many successors have count 1, 2 and more and their sum; and passes
-   what its n-grams say about shorter ones on to the next aggregation;
+2. n-grams of ids, from 2 to the full order, in buckets by their first two tokens:
+   a pair is a whole number, a bijection, and a longer one is the number of all but
+   its last token with that token, so no n-gram can be taken for another; each
+   bucket writes the sorted whole numbers, without the bytes that their order tells,
+   and counts; an n-gram's number is its place in all buckets.  A bucket of the next
+   length writes how many successors have count 1, 2 and more and their sum.
+   Below the full order tasks pass the n-grams with each different token before
+   them, which are summed in the bucket; pairs pass what they say of tokens on to
 3. the same of tokens, and their predecessors, one array of each for up to 16
    buckets of tokens, so that the pieces that pass between buckets stay few.
 
+What follows one pair of tokens is in one bucket, each different n-gram of it once
+a task; a single token with any share of all tokens is spread.
+
 The files are in the shared folder.  Workers map them and look up sorted queries,
 so a batch goes through each file once, in order, and reads only the pages that
 it needs.
@@ -34,12 +42,13 @@ it needs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm import byteblocks
@@ -47,7 +56,7 @@ from touchline.llm.shared import append_columns, blob_rows, mix64
 from touchline.llm.shared_files import mapped, write_arrays
 from touchline.runtime import scratch_path
 
-#: Tokens that a task counts or scores together.
+#: Tokens that a task counts together; it scores half as many.
 CHUNK_TOKENS = 2_000_000
 #: Hash of the end of a text.
 END = np.uint64(0x5851F42D4C957F2D)
@@ -73,6 +82,7 @@ class Model:
     low: np.ndarray  # discounts of predecessor counts
     rest: float  # g1
     begin_facts: np.ndarray  # successors of the begin with count 1, 2, more, and their sum
+    first_gram: dict = field(default_factory=dict)  # as first_id, by length of n-grams
     open_files: dict = field(default_factory=dict, repr=False)
 
     @property
@@ -84,6 +94,11 @@ class Model:
         """Bytes that hold any id and count."""
         return 4 if max(self.tokens, self.types + 1) < 1 << 32 else 8
 
+    @property
+    def pair_bits(self) -> int:
+        """Bits that hold any pair of ids, and tell all buckets apart."""
+        return min(64, max(((self.types + 1) ** 2 - 1).bit_length(), self.bits + 8))
+
     @property
     def shift(self) -> int:
         """So many bits more tell the buckets of tokens apart than those of facts."""
@@ -136,14 +151,15 @@ def token_hashes(block: byteblocks.Block) -> tuple[np.ndarray, np.ndarray]:
     return tokens, offsets
 
 
-def _chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, tokens, offsets) of about CHUNK_TOKENS tokens, whole rows."""
+def _chunks(column: pa.Array, most: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, tokens, offsets) of about ``most`` tokens, CHUNK_TOKENS by default, whole rows."""
+    most = most or CHUNK_TOKENS
     held, first, size, row = [], 0, 0, 0
     for block in byteblocks.blocks(column):
         held.append(token_hashes(block))
         size += len(held[-1][0])
         row += block.rows
-        if size >= CHUNK_TOKENS:
+        if size >= most:
             yield first, *_joined(held)
             held, first, size = [], row, 0
     if held:
@@ -162,7 +178,7 @@ def _lookup(model: Model, kind: str, hashes: np.ndarray) -> Iterator[tuple[int,
     for at, part in zip(np.concatenate([[0], cuts]), np.split(hashes, cuts)):
         if len(part):
             bucket = int(buckets[at])
-            known = _gram_hashes_of(model, int(kind[5:]), bucket) if kind.startswith("grams") else _hashes_of(model, kind, bucket)
+            known = _hashes_of(model, kind, bucket)
             if len(known):
                 place = np.minimum(np.searchsorted(known, part), len(known) - 1)
                 hit = np.flatnonzero(known[place] == part)
@@ -188,21 +204,54 @@ def _ids(model: Model, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids, counts
 
 
-def _pair_hashes(model: Model, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    return mix64(before.astype(np.uint64) * np.uint64(model.types + 1) + after.astype(np.uint64))
+_ODD = 0x94D049BB133111EB
 
 
-def _longer_hashes(hashes: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Of n-grams of three and more, from those of all but the last token."""
-    return mix64(hashes * np.uint64(0x9E3779B97F4A7C15) + after.astype(np.uint64))
+def _scrambled(x: np.ndarray, bits: int) -> np.ndarray:
+    """A bijection of the numbers of so many bits that spreads them over all leading bits."""
+    half, mask = np.uint64((bits + 1) // 2), np.uint64((1 << bits) - 1)
+    for _ in range(3):
+        x = ((x ^ (x >> half)) * np.uint64(_ODD & int(mask))) & mask
+    return x ^ (x >> half)
 
 
-def _gram_hashes(model: Model, ids: np.ndarray) -> np.ndarray:
-    """Of n-grams of at least two, one row of ids for each place."""
-    out = _pair_hashes(model, ids[0], ids[1])
-    for after in ids[2:]:
-        out = _longer_hashes(out, after)
-    return out
+def _unscrambled(x: np.ndarray, bits: int) -> np.ndarray:
+    half, mask = np.uint64((bits + 1) // 2), np.uint64((1 << bits) - 1)
+    for _ in range(3):
+        x = ((x ^ (x >> half)) * np.uint64(pow(_ODD, -1, 1 << bits))) & mask
+    return x ^ (x >> half)
+
+
+def _pairs(model: Model, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Each pair of ids as a whole number of ``pair_bits``, whose leading bits are its bucket."""
+    return _scrambled(before.astype(np.uint64) * np.uint64(model.types + 1) + after.astype(np.uint64), model.pair_bits)
+
+
+def _pair_keys(model: Model, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each pair, and its key: the rest, below ``_top(model, 2, bucket)``."""
+    rest = model.pair_bits - model.bits
+    return (pairs >> np.uint64(rest)).astype(np.int64), (pairs & np.uint64((1 << rest) - 1)).astype(np.int64)
+
+
+def _pair_of(model: Model, bucket: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x = keys.astype(np.uint64) | np.uint64(bucket << (model.pair_bits - model.bits))
+    before, after = np.divmod(_unscrambled(x, model.pair_bits), np.uint64(model.types + 1))
+    return before.astype(np.int64), after.astype(np.int64)
+
+
+def _longer_keys(model: Model, size: int, context: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same of n-grams of ``size``, at least three, from the numbers of all but their last tokens."""
+    first = model.first_gram[size - 1]
+    bucket = np.searchsorted(first, context, side="right") - 1
+    return bucket, (context - first[bucket]) * (model.types + 1) + last
+
+
+def _top(model: Model, size: int, bucket: int) -> int:
+    """A bound above all keys of a bucket."""
+    if size == 2:
+        return 1 << (model.pair_bits - model.bits)
+    first = model.first_gram[size - 1]
+    return max(1, int(first[bucket + 1] - first[bucket]) * (model.types + 1))
 
 
 def _unmixed(hashes: np.ndarray) -> np.ndarray:
@@ -243,9 +292,8 @@ _BLOBS = "bucket long, kind int, items binary"
 
 
 def _planes(columns: list[np.ndarray], width: int) -> bytes:
-    """Numbers in the order of the first columns, byte by byte and compressed: sorted and high bytes shrink to little."""
+    """Numbers, sorted by the first columns, byte by byte and compressed: sorted and high bytes shrink to little."""
     table = np.stack(columns).astype(f"<u{width}")
-    table = np.ascontiguousarray(table[:, np.lexsort(table[1::-1])])
     raw = table.view(np.uint8).reshape(*table.shape, width).transpose(0, 2, 1).tobytes()
     return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
@@ -256,13 +304,34 @@ def _from_planes(blob: pa.Buffer, columns: int, width: int) -> np.ndarray:
     return np.ascontiguousarray(table).view(f"<u{width}")[..., 0].astype(np.int64)
 
 
-def _gram_blobs(model: Model, kind: int, hashes: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
-    """(bucket, kind, items) of n-grams in the order of their hashes."""
-    buckets = (hashes >> np.uint64(64 - model.bits)).astype(np.int64)
-    cuts = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(hashes)]
+def _distinct(columns: Iterable[np.ndarray], tops: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sorted distinct rows of numbers below ``tops``, and how often each occurs."""
+    bits = [max(1, int(top - 1).bit_length()) for top in tops]
+    if sum(bits) > 64:
+        columns = list(columns)
+        table = np.stack(columns)[:, np.lexsort(columns[::-1])]
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, table.shape[1]), bool), (table[:, 1:] != table[:, :-1]).any(axis=0)]))
+        return list(table[:, first]), np.diff(np.append(first, table.shape[1]))
+    keys = np.uint64(0)
+    for column, b in zip(columns, bits):
+        keys = (keys << np.uint64(b)) | column.astype(np.uint64)
+    keys, counts = np.unique(keys, return_counts=True)
+    out = []
+    for b in reversed(bits):
+        out.append((keys & np.uint64((1 << b) - 1)).astype(np.int64))
+        keys = keys >> np.uint64(b)
+    return out[::-1], counts
+
+
+def _gram_blobs(model: Model, kind: int, columns: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, kind, items) of sorted n-grams, by the first two tokens."""
+    bucket = _pair_keys(model, _pairs(model, columns[0], columns[1]))[0]
+    order = np.argsort(bucket.astype(np.uint16) if model.bits <= 16 else bucket, kind="stable")
+    bucket, columns = bucket[order], [c[order].astype(f"<u{model.width}") for c in columns]
+    cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
     for start, end in zip(cuts, cuts[1:]):
         if start < end:
-            yield int(buckets[start]), kind, _planes([c[start:end] for c in columns], model.width)
+            yield int(bucket[start]), kind, _planes([c[start:end] for c in columns], model.width)
 
 
 def _back(ids: np.ndarray, offsets: np.ndarray, steps: int, begin: int) -> np.ndarray:
@@ -272,15 +341,31 @@ def _back(ids: np.ndarray, offsets: np.ndarray, steps: int, begin: int) -> np.nd
     return ids
 
 
-def _text_grams(model: Model, ids: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """Counts of all n-grams of the full order, and of shorter ones that start with the begin."""
-    place = np.arange(len(ids)) - np.repeat(offsets[:-1], np.diff(offsets))
-    columns = [_back(ids, offsets, k, model.types) for k in range(model.order)][::-1]
-    for size in range(2, model.order + 1):
-        at = np.flatnonzero(place >= size - 2 if size == model.order else place == size - 2)
-        grams = np.stack([c[at] for c in columns[-size:]])
-        hashes, first, counts = np.unique(_gram_hashes(model, grams), return_index=True, return_counts=True)
-        yield from _gram_blobs(model, size, hashes, [*grams[:, first], counts])
+#: Kinds of blobs: n-grams with their count, and with a token before them.
+_COUNTED, _PRECEDED = 1, 2
+
+
+def _text_grams(model: Model, size: int, words: np.ndarray, which: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """Of full order, n-grams with their counts; of shorter ones those that start with the begin, the others with what is before them.
+
+    ``words`` are sorted ids, ``which`` the place in them of each token.
+    """
+    which = which.astype(np.int32) if len(words) < (1 << 31) - 1 else which
+    place = np.arange(len(which), dtype=np.int32) - np.repeat(offsets[:-1], np.diff(offsets)).astype(np.int32)
+    back = [_back(which, offsets, k, len(words)) for k in range(min(size + 1, model.order))]
+    ids = np.append(words, model.types)
+
+    def found(columns, at):
+        rows, counts = _distinct((c[at] for c in columns), [len(ids)] * len(columns))
+        for k, r in enumerate(rows):
+            rows[k] = ids[r]
+        return rows, counts
+
+    grams, counts = found(back[size - 1::-1], np.flatnonzero(place >= size - 2 if size == model.order else place == size - 2))
+    yield from _gram_blobs(model, _COUNTED, [*grams, counts])
+    if size < model.order:
+        grams, _ = found([*back[size - 1::-1], back[size]], np.flatnonzero(place >= size - 1))
+        yield from _gram_blobs(model, _PRECEDED, grams)
 
 
 def _columns_of(table: pa.Table, kind: int, columns: int, width: int) -> np.ndarray:
@@ -288,11 +373,6 @@ def _columns_of(table: pa.Table, kind: int, columns: int, width: int) -> np.ndar
     return np.concatenate([np.zeros((columns, 0), np.int64), *[_from_planes(b.as_buffer(), columns, width) for k, b in rows if k == kind]], axis=1)
 
 
-def _grouped(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct hashes, a place of each, and the group of all places."""
-    return np.unique(hashes, return_index=True, return_inverse=True)
-
-
 def _sums(group: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     out = np.zeros(size, np.int64)
     np.add.at(out, group, values)
@@ -303,37 +383,104 @@ def _successor_facts(group: np.ndarray, counts: np.ndarray, size: int) -> list[n
     return [np.bincount(group[mine], minlength=size) for mine in (counts == 1, counts == 2, counts > 2)] + [_sums(group, counts, size)]
 
 
-def _write_grams(model: Model, size: int, bucket: int, hashes: np.ndarray, columns: list[np.ndarray]) -> None:
-    """Hashes, then each column as one byte a number; those from 255 on follow as (place, number)."""
-    large = [np.flatnonzero(c >= 255) for c in columns]
-    head = np.array([len(hashes), *[len(x) for x in large]], "<u8")
-    rest = [np.stack([x, c[x]]).T.astype("<u8") for x, c in zip(large, columns)]
-    write_arrays(f"{model.folder}/grams{size}-{bucket}", [head, hashes.astype("<u8"), *[np.minimum(c, 255).astype(np.uint8) for c in columns], *rest])
-
-
-def _gram_hashes_of(model: Model, size: int, bucket: int) -> np.ndarray:
-    raw, columns = _open(model, f"grams{size}", bucket), _gram_columns(model, size)
-    n = int(raw[:8].view("<u8")[0]) if len(raw) else 0
-    return raw[8 * (columns + 1): 8 * (columns + 1 + n)].view("<u8")
-
-
-def _gram_columns(model: Model, size: int) -> int:
-    return 1 if size == model.order else 1 + len(_SUCCESSORS)
+def _coded(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Up to four columns as one byte a row, the place of its numbers among the 255 most frequent; 255 for others, which follow."""
+    table = np.stack(columns).astype("<u8")
+    small = np.flatnonzero((table < 1 << 16).all(axis=0))
+    packed = np.zeros(len(small), np.uint64)
+    for k, column in enumerate(table):
+        packed |= column[small] << np.uint64(16 * k)
+    values, which, counts = np.unique(packed, return_inverse=True, return_counts=True)
+    frequent = np.argsort(-counts, kind="stable")[:255]
+    code_of = np.full(len(values), 255, np.uint8)
+    code_of[frequent] = np.arange(len(frequent))
+    codes = np.full(table.shape[1], 255, np.uint8)
+    codes[small] = code_of[which]
+    rare = np.flatnonzero(codes == 255)
+    return [np.array([len(codes), len(columns), len(frequent), len(rare)], "<u8"), values[frequent].astype("<u8"),
+            rare.astype("<u8"), table[:, rare].T.astype("<u8"), codes]
+
+
+def _decoded(raw: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """One row for each column of ``_coded``."""
+    n, columns, frequent, rare = raw[:32].view("<u8").astype(np.int64).tolist()
+    values = np.append(raw[32: 32 + 8 * frequent].view("<u8"), np.uint64(0))
+    start = 32 + 8 * frequent
+    rare_at = raw[start: start + 8 * rare].view("<u8").astype(np.int64)
+    start += 8 * rare
+    table = raw[start: start + 8 * rare * columns].view("<u8").reshape(rare, columns)
+    codes = raw[start + 8 * rare * columns:][places]
+    at = np.flatnonzero(codes == 255)
+    packed = values[np.minimum(codes, frequent)]
+    out = np.stack([(packed >> np.uint64(16 * k)) & np.uint64(0xFFFF) for k in range(columns)]).astype(np.int64)
+    if len(at):
+        out[:, at] = table[np.searchsorted(rare_at, places[at])].T
+    return out
 
 
-def _gram_values(model: Model, size: int, bucket: int, places: np.ndarray) -> np.ndarray:
-    """One row for each column."""
-    raw, columns = _open(model, f"grams{size}", bucket), _gram_columns(model, size)
-    head = raw[: 8 * (columns + 1)].view("<u8").astype(np.int64)
-    n, start = int(head[0]), 8 * (columns + 1 + int(head[0]))
-    out = np.stack([raw[start + k * n: start + (k + 1) * n][places] for k in range(columns)]).astype(np.int64)
-    start += columns * n
-    for row, m in zip(out, head[1:].tolist()):
-        large = raw[start: start + 16 * m].view("<u8").reshape(-1, 2)
-        start += 16 * m
-        at = np.flatnonzero(row == 255)
-        row[at] = large[np.searchsorted(large[:, 0], places[at].astype(np.uint64)), 1]
-    return out
+def _write_grams(path: str, keys: np.ndarray, top: int, counts: np.ndarray) -> None:
+    """Sorted distinct keys below ``top``, of each the low bytes, behind where each value of the higher bits begins; and counts."""
+    n = len(keys)
+    width = max(0, -(-((top - 1).bit_length() - n.bit_length() + 4) // 8))
+    slots = ((top - 1) >> 8 * width) + 1
+    index = np.searchsorted(keys >> 8 * width, np.arange(slots + 1))
+    low = keys.astype("<u8").view(np.uint8).reshape(n, 8)[:, :width]
+    write_arrays(path, [np.array([n, width, slots], "<u8"), index.astype("<u4"), low, *_coded([counts])])
+
+
+def _gram_parts(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index, low bytes and codes of a file of n-grams."""
+    n, width, slots = raw[:24].view("<u8").astype(np.int64).tolist()
+    start = 24 + 4 * (slots + 1)
+    return raw[24:start].view("<u4"), raw[start: start + n * width].reshape(n, width), raw[start + n * width:]
+
+
+def _places(raw: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of keys in a file of n-grams, -1 for those that it lacks; all keys halve what is left of their slots at once."""
+    if not len(raw) or not raw[:8].view("<u8")[0]:
+        return np.full(len(keys), -1, np.int64)
+    index, low, _ = _gram_parts(raw)
+    n, width = low.shape
+    slot, rest = keys >> 8 * width, keys & ((1 << 8 * width) - 1)
+    inside = slot < len(index) - 1
+    slot = np.minimum(slot, len(index) - 2)
+    left, right = index[slot].astype(np.int64), index[slot + 1].astype(np.int64)
+    end = right.copy()
+
+    def at(places):
+        rows, out = low[np.minimum(places, n - 1)], np.zeros(len(places), np.int64)
+        for k in range(width):
+            out |= rows[:, k].astype(np.int64) << 8 * k
+        return out
+
+    open_ = np.flatnonzero(left < right)
+    while len(open_):
+        middle = (left[open_] + right[open_]) >> 1
+        below = at(middle) < rest[open_]
+        left[open_] = np.where(below, middle + 1, left[open_])
+        right[open_] = np.where(below, right[open_], middle)
+        open_ = open_[left[open_] < right[open_]]
+    return np.where(inside & (left < end) & (at(left) == rest), left, -1)
+
+
+def _grams(model: Model, size: int, bucket: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of n-grams by sorted bucket and key, -1 for those that training lacks; their counts; and facts about their successors."""
+    numbers, counts = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
+    after = np.zeros((len(_SUCCESSORS) if size < model.order else 0, len(keys)), np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(keys)]
+    for start, end in zip(cuts, cuts[1:]):
+        if start < end:
+            b = int(bucket[start])
+            raw = _open(model, f"grams{size}", b)
+            place = _places(raw, keys[start:end])
+            hit = np.flatnonzero(place >= 0)
+            if len(hit):
+                place, at = place[hit], hit + start
+                numbers[at] = model.first_gram[size][b] + place
+                counts[at] = _decoded(_gram_parts(raw)[2], place)[0]
+                if len(after) and len(facts := _open(model, f"after{size}", b)):
+                    after[:, at] = _decoded(facts, place)
+    return numbers, counts, after
 
 
 def _counted(hashes: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
@@ -361,6 +508,36 @@ def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return _summed(np.concatenate(keys), np.concatenate(counts))
 
 
+def _bucket_grams(model: Model, size: int, bucket: int, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of a bucket's n-grams, and their counts or numbers of different tokens before them."""
+    def keys_of(columns: np.ndarray) -> np.ndarray:
+        keys = _pair_keys(model, _pairs(model, columns[0], columns[1]))[1]
+        for k in range(3, size + 1):
+            keys = _places(_open(model, f"grams{k - 1}", bucket), keys) * (model.types + 1) + columns[k - 1]
+        return keys
+
+    counted = _columns_of(table, _COUNTED, size + 1, model.width)
+    keys, counts = _summed(keys_of(counted[:size]), counted[size])
+    if size == model.order:
+        return keys, counts
+    preceded = _columns_of(table, _PRECEDED, size + 1, model.width)
+    (found, _), _ = _distinct([keys_of(preceded[:size]), preceded[size]], [_top(model, size, bucket), model.types + 1])
+    found, before = np.unique(found, return_counts=True)
+    return _summed(np.concatenate([keys, found]), np.concatenate([counts, before]))
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside leave no shuffle files behind; each must run once only."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def train(docs: DataFrame, learn: Column, text: str = "text", order: int = 2) -> Model | None:
     """A model of this order (2 or more) of the texts of the rows where ``learn`` holds (null texts count as empty); None if there are none."""
     if order < 2:
@@ -384,62 +561,48 @@ def train(docs: DataFrame, learn: Column, text: str = "text", order: int = 2) ->
         write_arrays(f"{folder}/tokens-{bucket}", [keys.astype("<u8"), counts.astype("<u4")])
         return pa.table({"bucket": [bucket], "types": [len(keys)], "n": [int(counts.sum())]})
 
-    found = rows.mapInArrow(emit_tokens, _BLOBS).groupBy("bucket").applyInArrow(write_tokens, "bucket long, types long, n long").collect()
+    with shuffles_removed(spark):
+        found = rows.mapInArrow(emit_tokens, _BLOBS).groupBy("bucket").applyInArrow(write_tokens, "bucket long, types long, n long").collect()
     types = np.zeros((1 << bits) + 1, np.int64)  # one number a bucket
     for row in found:
         types[row["bucket"] + 1] = row["types"]
     model = Model(folder, bits, np.cumsum(types), sum(r["n"] for r in found), texts, order, 0, {}, np.zeros(4), 0.0, np.zeros(4))
 
-    shared = spark.sparkContext.broadcast(model)
+    def gram_job(size: int) -> DataFrame:
+        shared = spark.sparkContext.broadcast(model)
 
-    def emit_grams(batches):
-        model = shared.value
-        for batch in batches:
-            for _, tokens, offsets in _chunks(batch.column("text")):
-                words, which = np.unique(tokens, return_inverse=True)
-                yield _rows(_text_grams(model, _ids(model, words)[0][which], offsets))
+        def emit(batches):
+            model = shared.value
+            for batch in batches:
+                for _, tokens, offsets in _chunks(batch.column("text")):
+                    words, which = np.unique(tokens, return_inverse=True)  # ids have the order of hashes
+                    yield _rows(_text_grams(model, size, _ids(model, words)[0], which, offsets))
 
-    def write_grams(size: int):
         def write(table: pa.Table) -> pa.Table:
             model = shared.value
             bucket = table["bucket"][0].as_py()
-            found = _columns_of(table, size, size + 1, model.width)
-            hashes, first, group = _grouped(_gram_hashes(model, found[:-1]))
-            counts, ids = _sums(group, found[-1], len(hashes)), found[:-1, first]
-            columns = [counts]
-            if size < model.order:
-                about = _columns_of(table, -size, size + len(_SUCCESSORS), model.width)
-                mine = np.searchsorted(hashes, _gram_hashes(model, about[:size]))
-                columns += [_sums(mine, values, len(hashes)) for values in about[size:]]
-            if len(hashes):
-                _write_grams(model, size, bucket, hashes, columns)
+            keys, counts = _bucket_grams(model, size, bucket, table)
+            if len(keys):
+                _write_grams(f"{folder}/grams{size}-{bucket}", keys, _top(model, size, bucket), counts)
             by_count = np.bincount(np.minimum(counts, 5), minlength=6)[1:6]
+            numbers = [(bucket >> model.shift if size == 2 else bucket, 0, np.array([size, bucket, len(keys), *by_count], "<i8").tobytes())]
             if size == 2:
-                out = _facts(model, ids[0], ids[1], counts)
-            else:
-                out = list(_passed_on(model, ids, counts))
-                out += [(bucket, kind, b.as_py()) for kind, b in zip(table["kind"].to_pylist(), table["items"]) if 0 < kind < size]
-            held = [(bucket, 0, b.as_py()) for kind, b in zip(table["kind"].to_pylist(), table["items"]) if kind == 0]
-            numbers = [(bucket, 0, np.array([size, *by_count], "<i8").tobytes()), *held]
-            if size == 2:
-                numbers = [(b >> model.shift, kind, items) for b, kind, items in numbers]
-            return pa.Table.from_batches([_rows([*out, *numbers])])
+                return pa.Table.from_batches([_rows([*_facts(model, *_pair_of(model, bucket, keys), counts), *numbers])])
+            group = keys // (model.types + 1)
+            contexts = int(model.first_gram[size - 1][bucket + 1] - model.first_gram[size - 1][bucket])
+            write_arrays(f"{folder}/after{size - 1}-{bucket}", _coded(_successor_facts(group, counts, contexts)))
+            return pa.Table.from_batches([_rows(numbers)])
 
-        return write
+        return rows.mapInArrow(emit, _BLOBS).groupBy("bucket").applyInArrow(write, _BLOBS)
 
-    steps = rows.mapInArrow(emit_grams, _BLOBS)
-    for size in range(order, 1, -1):
-        steps = steps.groupBy("bucket").applyInArrow(write_grams(size), _BLOBS)
+    shared = spark.sparkContext.broadcast(model)
 
     def write_facts(table: pa.Table) -> pa.Table:
         model = shared.value
         bucket = table["bucket"][0].as_py()
         blobs = list(zip(table["kind"].to_pylist(), (b for chunk in table["items"].chunks for b in chunk)))
         items = np.concatenate([np.zeros(0, _FACTS)] + [np.frombuffer(b.as_buffer(), _FACTS) for kind, b in blobs if kind == 1])
-        by_count = np.zeros((model.order + 1, 5), np.int64)
-        for _, b in (x for x in blobs if x[0] == 0):
-            size, *n = np.frombuffer(b.as_buffer(), "<i8").tolist()
-            by_count[size] += n
+        grams = [b.as_py() for kind, b in blobs if kind == 0]
         base, end = model.id_range(bucket)
         at = (items["id"] - np.uint64(base)).astype(np.int64)
         sums = {name: _sums(at, items[name].astype(np.int64), end - base) for name in (*_SUCCESSORS, "before")}
@@ -449,13 +612,28 @@ def train(docs: DataFrame, learn: Column, text: str = "text", order: int = 2) ->
         else:
             write_arrays(f"{folder}/facts-{bucket}", [x.astype("<u8" if model.width == 8 else "<u4") for x in sums.values()])
             own = np.bincount(np.minimum(sums["before"], 5), minlength=6)[1:6]
-        return pa.table({"types": pa.array([by_count.ravel().tolist()], pa.list_(pa.int64())), "own": pa.array([own.tolist()], pa.list_(pa.int64())), "begin": pa.array([begin], pa.list_(pa.int64()))})
-
-    done = steps.groupBy("bucket").applyInArrow(write_facts, "types array<long>, own array<long>, begin array<long>").collect()
-    types_by_count, own, begin = (np.sum([r[name] for r in done], axis=0) for name in ("types", "own", "begin"))
-    types_by_count = types_by_count.reshape(order + 1, 5)
-    model.bigrams = int(types_by_count[2].sum())
-    model.high, model.low = {size: discounts(types_by_count[size]) for size in range(2, order + 1)}, discounts(own)
+        return pa.table({"grams": pa.array([grams], pa.list_(pa.binary())), "own": pa.array([own.tolist()], pa.list_(pa.int64())), "begin": pa.array([begin], pa.list_(pa.int64()))})
+
+    def take(size: int, numbers) -> None:
+        """What buckets say of their n-grams: how many there are, and how many have each count."""
+        firsts, types_by_count = np.zeros((1 << bits) + 1, np.int64), np.zeros(5, np.int64)
+        for _, bucket, n, *by_count in (np.frombuffer(b, "<i8").tolist() for b in numbers):
+            firsts[bucket + 1] = n
+            types_by_count += by_count
+        model.first_gram[size] = np.cumsum(firsts)
+        model.high[size] = discounts(types_by_count)
+        if size < order and int(firsts.max()) * (model.types + 1) >= 1 << 63:
+            raise ValueError("more n-grams than numbers of 64 bits: raise spark.sql.shuffle.partitions")
+
+    with shuffles_removed(spark):
+        done = gram_job(2).groupBy("bucket").applyInArrow(write_facts, "grams array<binary>, own array<long>, begin array<long>").collect()
+    take(2, [b for r in done for b in r["grams"]])
+    own, begin = (np.sum([r[name] for r in done], axis=0) for name in ("own", "begin"))
+    for size in range(3, order + 1):
+        with shuffles_removed(spark):
+            take(size, [r["items"] for r in gram_job(size).collect()])  # one row a bucket
+    model.bigrams = int(model.first_gram[2][-1])
+    model.low = discounts(own)
     model.rest = float((model.low[1] * own[0] + model.low[2] * own[1] + model.low[3] * own[2:].sum()) / model.bigrams)
     model.begin_facts = np.asarray(begin, np.float64)
     return model
@@ -467,15 +645,6 @@ def _rows(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["bucket", "kind", "items"])
 
 
-def _passed_on(model: Model, ids: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """What a bucket's n-grams, at least three long, say: successors of all but the last token, predecessors of all but the first."""
-    size = len(ids)
-    hashes, first, group = _grouped(_gram_hashes(model, ids[:-1]))
-    yield from _gram_blobs(model, 1 - size, hashes, [*ids[:-1, first], *_successor_facts(group, counts, len(hashes))])
-    hashes, first, group = _grouped(_gram_hashes(model, ids[1:]))
-    yield from _gram_blobs(model, size - 1, hashes, [*ids[1:, first], np.bincount(group, minlength=len(hashes))])
-
-
 def _facts(model: Model, before: np.ndarray, after: np.ndarray, counts: np.ndarray) -> list[tuple[int, int, bytes]]:
     """What the bigrams of a bucket say about tokens, by bucket of token."""
     ids, which = np.unique(np.concatenate([before, after]), return_inverse=True)
@@ -490,6 +659,17 @@ def _facts(model: Model, before: np.ndarray, after: np.ndarray, counts: np.ndarr
 
 # Scoring.
 
+def _distinct_longer(model: Model, size: int, context: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets and keys, sorted, of the distinct n-grams of ``size``, and the place of each among them."""
+    top = model.types + 1
+    if int(model.first_gram[size - 1][-1]) * top < 1 << 63:
+        grams, which = np.unique(context * top + last, return_inverse=True)
+        context, last = np.divmod(grams, top)
+    else:
+        (context, last), which = np.unique(np.stack([context, last]), axis=1, return_inverse=True)
+    return *_longer_keys(model, size, context, last), which.ravel()
+
+
 def _token_facts(model: Model, ids: np.ndarray) -> np.ndarray:
     """[one, two, more, total, before] of sorted distinct known ids."""
     out = np.zeros((5, len(ids)))
@@ -505,6 +685,11 @@ def _token_facts(model: Model, ids: np.ndarray) -> np.ndarray:
     return out
 
 
+def _handed_on(model: Model, size: int, after: np.ndarray) -> np.ndarray:
+    """Of contexts of n-grams of ``size``, by facts about their successors: the sum of counts, and what discounts took of it."""
+    return np.stack([after[3].astype(np.float64), model.high[size][1:] @ after[:3]])
+
+
 def log_scores(model: Model, tokens: np.ndarray, offsets: np.ndarray):
     """For each row: tokens, known tokens, log10 under the base, log10 under the model."""
     words, which = np.unique(tokens, return_inverse=True)
@@ -516,30 +701,35 @@ def log_scores(model: Model, tokens: np.ndarray, offsets: np.ndarray):
     single = np.maximum(facts[4] - model.low[np.minimum(facts[4], 3).astype(int)], 0) / model.bigrams + model.rest / (model.types + 1)
     base = np.log10((counts + 1) / (model.tokens + model.types + 1))
 
-    row = byteblocks.row_of(offsets)
     at = ids[which]
     p = single[which]
-    place = np.arange(len(at)) - offsets[:-1][row]
-    hashes, known = _pair_hashes(model, _previous(at, offsets, model.types), at), (at >= 0) & (_previous(at, offsets, model.types) >= 0)
-    context = np.zeros((len(_SUCCESSORS), len(at)))  # of all tokens before that count
-    context[:, 1:] = facts[:4, which[:-1]]
-    context[:, offsets[:-1]] = model.begin_facts[:, None]
+    place = np.arange(len(at)) - np.repeat(offsets[:-1], np.diff(offsets))
+    before = _previous(at, offsets, model.types)
+    total, rest = _handed_on(model, 2, facts[:4])[:, which]  # of all tokens before that count
+    total, rest = np.concatenate([[0.0], total[:-1]]), np.concatenate([[0.0], rest[:-1]])
+    total[offsets[:-1]], rest[offsets[:-1]] = _handed_on(model, 2, model.begin_facts[:, None])[:, 0]
     for size in range(2, model.order + 1):
-        if size > 2:  # from the place before
-            known = (place >= size - 2) & (at >= 0) & np.concatenate([[False], known[:-1]])
-            context = np.where(place >= size - 2, np.concatenate([context[:, :1], own[:, :-1]], axis=1), 0)
-            hashes = _longer_hashes(np.concatenate([hashes[:1], hashes[:-1]]), at)
-        found = np.zeros((_gram_columns(model, size), len(at)))
-        both = np.flatnonzero(known)
-        keys, key_of = np.unique(hashes[both], return_inverse=True)
-        seen = np.zeros((len(found), len(keys)))
-        for bucket, here, there in _lookup(model, f"grams{size}", keys):
-            seen[:, here] = _gram_values(model, size, bucket, there)
-        found[:, both] = seen[:, key_of]
-        c, own = found[0], found[1:]
-        high, total = model.high[size], np.maximum(context[3], 1)
-        p = np.where(context[3] > 0, np.maximum(c - high[np.minimum(c, 3).astype(int)], 0) / total + high[1:] @ context[:3] / total * p, p)
+        known = np.flatnonzero((at >= 0) & (before >= 0))
+        if size == 2:
+            pairs, which_gram = np.unique(_pairs(model, before[known], at[known]), return_inverse=True)
+            bucket, keys = _pair_keys(model, pairs)
+        else:
+            bucket, keys, which_gram = _distinct_longer(model, size, before[known], at[known])
+        numbers, c, after = _grams(model, size, bucket, keys)
+        share = np.maximum(c - model.high[size][np.minimum(c, 3)], 0)
+        own = np.zeros(len(at))
+        own[known] = share[which_gram]
+        p = np.where(total > 0, (own + rest * p) / np.maximum(total, 1), p)
+        if size < model.order:  # each place takes what the one before has found
+            found = np.full(len(at), -1)
+            found[known] = numbers[which_gram]
+            inside = place >= size - 1
+            before = np.where(inside, np.concatenate([[-1], found[:-1]]), -1)
+            handed = np.zeros((2, len(at)))
+            handed[:, known] = _handed_on(model, size + 1, after)[:, which_gram]
+            total, rest = np.where(inside, np.concatenate([np.zeros((2, 1)), handed[:, :-1]], axis=1), 0)
     logs = np.log10(p)
+    row = byteblocks.row_of(offsets)
     rows = len(offsets) - 1
     return (np.diff(offsets), np.bincount(row, counts[which] > 0, rows).astype(np.int64),
             np.bincount(row, base[which], rows), np.bincount(row, logs, rows))
@@ -558,7 +748,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", keep_text: b
 
         def compute(column: pa.Array) -> list:
             parts = []
-            for _, tokens, offsets in _chunks(column):
+            for _, tokens, offsets in _chunks(column, CHUNK_TOKENS // 2):
                 if model is None:
                     zero = np.zeros(len(offsets) - 1)
                     parts.append((np.diff(offsets), zero.astype(np.int64), zero, zero))
