@@ -134,7 +134,7 @@ def discounts(types_by_count: np.ndarray) -> np.ndarray:
 def _open(model: Model, kind: str, bucket: int) -> np.ndarray:
     key = (kind, bucket)
     if key not in model.open_files:
-        model.open_files[key] = mapped(f"{model.folder}/{kind}-{bucket}")
+        model.open_files[key] = np.asarray(mapped(f"{model.folder}/{kind}-{bucket}"))  # slices of a memmap itself are slow
     return model.open_files[key]
 
 
@@ -429,10 +429,11 @@ def _write_grams(path: str, keys: np.ndarray, top: int, counts: np.ndarray) -> N
 
 
 def _gram_parts(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index, low bytes and codes of a file of n-grams."""
+    """Index, low bytes (with what follows them, as 8 bytes) and codes of a file of n-grams."""
     n, width, slots = raw[:24].view("<u8").astype(np.int64).tolist()
     start = 24 + 4 * (slots + 1)
-    return raw[24:start].view("<u4"), raw[start: start + n * width].reshape(n, width), raw[start + n * width:]
+    low = np.ndarray((n,), "<u8", raw, start, (width,))  # codes are longer than 8 bytes
+    return raw[24:start].view("<u4"), low, raw[start + n * width:]
 
 
 def _places(raw: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -440,7 +441,7 @@ def _places(raw: np.ndarray, keys: np.ndarray) -> np.ndarray:
     if not len(raw) or not raw[:8].view("<u8")[0]:
         return np.full(len(keys), -1, np.int64)
     index, low, _ = _gram_parts(raw)
-    n, width = low.shape
+    n, width = len(low), low.strides[0]
     slot, rest = keys >> 8 * width, keys & ((1 << 8 * width) - 1)
     inside = slot < len(index) - 1
     slot = np.minimum(slot, len(index) - 2)
@@ -448,10 +449,7 @@ def _places(raw: np.ndarray, keys: np.ndarray) -> np.ndarray:
     end = right.copy()
 
     def at(places):
-        rows, out = low[np.minimum(places, n - 1)], np.zeros(len(places), np.int64)
-        for k in range(width):
-            out |= rows[:, k].astype(np.int64) << 8 * k
-        return out
+        return (low[np.minimum(places, n - 1)] & np.uint64((1 << 8 * width) - 1)).astype(np.int64)
 
     open_ = np.flatnonzero(left < right)
     while len(open_):
@@ -687,7 +685,8 @@ def _token_facts(model: Model, ids: np.ndarray) -> np.ndarray:
 
 def _handed_on(model: Model, size: int, after: np.ndarray) -> np.ndarray:
     """Of contexts of n-grams of ``size``, by facts about their successors: the sum of counts, and what discounts took of it."""
-    return np.stack([after[3].astype(np.float64), model.high[size][1:] @ after[:3]])
+    _, one, two, more = model.high[size]
+    return np.stack([after[3].astype(np.float64), one * after[0] + two * after[1] + more * after[2]])
 
 
 def log_scores(model: Model, tokens: np.ndarray, offsets: np.ndarray):
